@@ -193,6 +193,18 @@ def _links(percent: int):
     return run
 
 
+def _beside(d: int):
+    """Pairs of a row's block with the blocks of the class ``d`` further on."""
+
+    def pair(j):
+        here = F.struct(F.col("_class").alias("c"), F.col("_at").alias("b"))
+        there = F.struct((F.col("_class") + d).alias("c"), j.cast("int").alias("b"))
+        x, y = (here, there) if d > 0 else (there, here)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return pair
+
+
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -253,12 +265,8 @@ def jaccard_components(
         if d:
             n = F.coalesce(F.col(f"_b{d + reach}"), F.lit(0))
 
-            def beside(j, d=d):
-                here = F.struct(F.col("_class").alias("c"), F.col("_at").alias("b"))
-                there = F.struct((F.col("_class") + d).alias("c"), j.cast("int").alias("b"))
-                return F.struct(*((here.alias("x"), there.alias("y")) if d > 0 else (there.alias("x"), here.alias("y"))))
-
-            keys.append(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), beside)).otherwise(F.array().cast("array<struct<x:struct<c:int,b:int>,y:struct<c:int,b:int>>>")))
+            none = F.array().cast("array<struct<x:struct<c:int,b:int>,y:struct<c:int,b:int>>>")
+            keys.append(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), _beside(d))).otherwise(none))
     spread = (
         dealt.join(around, ["_root", "_class"])
         .withColumn("_at", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_blocks")).cast("int"))
@@ -267,7 +275,7 @@ def jaccard_components(
         .select("_node", "_root", "_block", F.col("_pair.x").alias("_x"), F.col("_pair.y").alias("_y"), "_h")
     )
     flat = spread.select(
-        "_node", "_root", "_h", *[(F.col(f"{c}.c") * 1_000_000_000 + F.col(f"{c}.b")).cast("long").alias(c) for c in ("_block", "_x", "_y")]
+        "_node", "_root", "_h", *[(F.col(f"{c}.c").cast("long") * 1_000_000_000 + F.col(f"{c}.b")).alias(c) for c in ("_block", "_x", "_y")]
     )
     links = flat.groupBy("_root", "_x", "_y").applyInPandas(_links(percent), "u long, v long")
     joined = materialize(connected_components(links, "links"), "components")

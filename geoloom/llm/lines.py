@@ -119,7 +119,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         )).alias("_run"),
     ).where("_run is not null").select("_id", "_doc", F.col("_run.at").alias("_j"), F.col("_run.n").alias("_len")).distinct()
     level = F.floor(F.log2(F.col("_len").cast("double")) + 1e-9).cast("int")
-    runs = runs.withColumn("_k", level).withColumn("_j2", F.col("_j") + F.col("_len") - F.shiftleft(F.lit(1), F.col("_k")))
+    runs = runs.withColumn("_k", level).withColumn("_j2", F.col("_j") + F.col("_len") - F.expr("shiftleft(1, _k)"))
     ranks = at.select("_doc", "_j", "_ranks")
     named = (
         runs.join(ranks, ["_doc", "_j"]).withColumn("_p", F.get("_ranks", F.col("_k"))).drop("_ranks").where("_p is not null")
