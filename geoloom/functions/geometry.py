@@ -104,14 +104,14 @@ def point(x: Column, y: Column) -> Column:
     return _make_point(x, y)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _make_point(x: pd.Series, y: pd.Series) -> pd.Series:
     import struct
 
     return pd.Series([None if pd.isna(a) or pd.isna(b) else struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _make_box(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     import struct
 
@@ -128,19 +128,19 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 # --- codecs --------------------------------------------------------------------------------------------------
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def geom_from_wkt(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else _write(model.from_wkt(x)) for x in s], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def geom_from_geojson(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else _write(model.from_geojson(x)) for x in s], dtype=object)
 
 
-as_wkt = _one(lambda g: None if g is None else model.to_wkt(g), "string")
-as_geojson = _one(lambda g: None if g is None else model.to_geojson(g), "string")
-as_wkb = _one(_write, "binary")
+as_wkt = _one(lambda g: None if g is None else model.to_wkt(g), T.StringType())
+as_geojson = _one(lambda g: None if g is None else model.to_geojson(g), T.StringType())
+as_wkb = _one(_write, T.BinaryType())
 
 @F.pandas_udf(BOUNDS)
 def envelope(g: pd.Series) -> pd.DataFrame:
@@ -150,19 +150,19 @@ def envelope(g: pd.Series) -> pd.DataFrame:
 
 # --- measures and predicates ---------------------------------------------------------------------------------
 
-area = _one(lambda g: float(planar.area(g)), "double")
-length = _one(lambda g: float(planar.length(g)), "double")
-num_points = _one(planar.point_count, "int")
-dimension = _one(planar.dimension, "int")
-distance = _two(lambda a, b: float(planar.distance(a, b)), "double")
-is_valid = _one(planar.is_valid, "boolean")
-is_simple = _one(planar.is_simple, "boolean")
-is_empty = _one(model.is_empty, "boolean")
-is_ring = _one(lambda g: g is not None and g[0] == model.LINE and len(g[1]) > 3 and bool((g[1][0] == g[1][-1]).all()) and planar.is_simple(g), "boolean")
+area = _one(lambda g: float(planar.area(g)), T.DoubleType())
+length = _one(lambda g: float(planar.length(g)), T.DoubleType())
+num_points = _one(planar.point_count, T.IntegerType())
+dimension = _one(planar.dimension, T.IntegerType())
+distance = _two(lambda a, b: float(planar.distance(a, b)), T.DoubleType())
+is_valid = _one(planar.is_valid, T.BooleanType())
+is_simple = _one(planar.is_simple, T.BooleanType())
+is_empty = _one(model.is_empty, T.BooleanType())
+is_ring = _one(lambda g: g is not None and g[0] == model.LINE and len(g[1]) > 3 and bool((g[1][0] == g[1][-1]).all()) and planar.is_simple(g), T.BooleanType())
 
 
 def _predicate(f: Callable) -> Callable[[Column, Column], Column]:
-    return _two(lambda a, b: a is not None and b is not None and bool(f(a, b)), "boolean")
+    return _two(lambda a, b: a is not None and b is not None and bool(f(a, b)), T.BooleanType())
 
 
 intersects = _predicate(planar.intersects)
@@ -172,45 +172,45 @@ touches = _predicate(planar.touches)
 crosses = _predicate(planar.crosses)
 overlaps = _predicate(planar.overlaps)
 equals = _predicate(planar.equals)
-disjoint = _two(lambda a, b: a is None or b is None or not planar.intersects(a, b), "boolean")
-wkt_equal = _two(lambda a, b: a is not None and b is not None and model.to_wkt(a) == model.to_wkt(b), "boolean")
+disjoint = _two(lambda a, b: a is None or b is None or not planar.intersects(a, b), T.BooleanType())
+wkt_equal = _two(lambda a, b: a is not None and b is not None and model.to_wkt(a) == model.to_wkt(b), T.BooleanType())
 
 # --- shapes --------------------------------------------------------------------------------------------------
 
 
-centroid = _one(_lift(planar.centroid), "binary")
-convex_hull = _one(_lift(planar.convex_hull), "binary")
-boundary = _one(_lift(planar.boundary), "binary")
-make_valid = _one(_lift(planar.make_valid), "binary")
-close_rings = _one(_lift(planar.close_rings), "binary")
-to_multi_polygon = _one(lambda g: _write(planar.polygonal(g)), "binary")
-exterior = _one(_lift(lambda g: model.build([(model.POLYGON, [p[1][0]]) for p in model.simple_parts(g) if p[0] == model.POLYGON])), "binary")
-longest_line = _one(_lift(planar.longest_part), "binary")
-auto_distance = _one(lambda g: None if g is None else float(planar.auto_distance(g)), "double")
-segmentize = _with(_lift(planar.segmentize), "binary")
-snap = _with(_lift(planar.snap_to_grid), "binary")
+centroid = _one(_lift(planar.centroid), T.BinaryType())
+convex_hull = _one(_lift(planar.convex_hull), T.BinaryType())
+boundary = _one(_lift(planar.boundary), T.BinaryType())
+make_valid = _one(_lift(planar.make_valid), T.BinaryType())
+close_rings = _one(_lift(planar.close_rings), T.BinaryType())
+to_multi_polygon = _one(lambda g: _write(planar.polygonal(g)), T.BinaryType())
+exterior = _one(_lift(lambda g: model.build([(model.POLYGON, [p[1][0]]) for p in model.simple_parts(g) if p[0] == model.POLYGON])), T.BinaryType())
+longest_line = _one(_lift(planar.longest_part), T.BinaryType())
+auto_distance = _one(lambda g: None if g is None else float(planar.auto_distance(g)), T.DoubleType())
+segmentize = _with(_lift(planar.segmentize), T.BinaryType())
+snap = _with(_lift(planar.snap_to_grid), T.BinaryType())
 
 
 def remove_duplicate_points(g: Column, strict: bool = True) -> Column:
     """A copy, as the engine this follows does; with ``strict=False`` repeated points go."""
-    return g if strict else _one(_lift(planar.remove_repeated), "binary")(g)
+    return g if strict else _one(_lift(planar.remove_repeated), T.BinaryType())(g)
 
 
 def buffer(g: Column, d, quad_segs: int = 30) -> Column:
     d = d if isinstance(d, Column) else F.lit(float(d))
-    return _with(_lift(lambda g, d: planar.buffer(g, d, quad_segs)), "binary")(g, d)
+    return _with(_lift(lambda g, d: planar.buffer(g, d, quad_segs)), T.BinaryType())(g, d)
 
 
 def buffer_auto(g: Column, ratio: float = 1.5, quad_segs: int = 30) -> Column:
-    return _one(_lift(lambda g: planar.buffer_auto(g, ratio, quad_segs)), "binary")(g)
+    return _one(_lift(lambda g: planar.buffer_auto(g, ratio, quad_segs)), T.BinaryType())(g)
 
 
 def simplify(g: Column, tolerance: float, preserve: bool = False) -> Column:
-    return _one(_lift(lambda g: planar.simplify(g, tolerance, preserve)), "binary")(g)
+    return _one(_lift(lambda g: planar.simplify(g, tolerance, preserve)), T.BinaryType())(g)
 
 
 def _set_operation(how: str) -> Callable[[Column, Column], Column]:
-    return _two(lambda a, b: None if a is None or b is None else _write(planar.overlay(a, b, how)), "binary")
+    return _two(lambda a, b: None if a is None or b is None else _write(planar.overlay(a, b, how)), T.BinaryType())
 
 
 intersection = _set_operation("intersection")
@@ -225,7 +225,7 @@ def line_minus_boundary(line: Column, polygon: Column, tolerance: float = 0.0) -
     def f(a, b):
         return None if a is None or b is None else _write(planar.longest_part(planar.line_difference(a, b, tolerance)))
 
-    return _two(f, "binary")(line, polygon)
+    return _two(f, T.BinaryType())(line, polygon)
 
 
 def transform(g: Column, source: int, target: int) -> Column:
@@ -238,10 +238,10 @@ def transform(g: Column, source: int, target: int) -> Column:
             return None
 
     crs.lookup(source), crs.lookup(target)
-    return _one(f, "binary")(g)
+    return _one(f, T.BinaryType())(g)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def union_agg(g: pd.Series) -> bytes:
     """Union of a group; members that aren't valid are repaired first."""
     parts = [_read(x) for x in g if x is not None]

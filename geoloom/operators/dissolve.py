@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
@@ -75,7 +76,7 @@ def containment(layer: DataFrame, key: str, size: float | None = None, boxes: bo
     return g.select(key).join(best, key, "left").select(key, "parent", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _with_holes(outer: pd.Series, holes: pd.Series) -> pd.Series:
     out = []
     for g, hs in zip(outer, holes, strict=True):

@@ -11,7 +11,6 @@ from .base import B_SQL, H_SQL, LONG_SQL, P_SQL, PT_SQL, R_SQL, RGB_SQL, bands,
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K = ", ".join(KEYS)
-BANDS = {1: F.col("b1"), 2: F.col("b2"), 3: F.col("b3"), 4: F.col("b4")}
 DIV = "case when ({d}) = 0 then null else ({n}) / ({d}) end"
 
 
@@ -27,7 +26,7 @@ def _band(name: str, column, sql: str) -> None:
 
 
 def _expr(name: str, text: str, sql: str, condition: str | None = None) -> None:
-    _band(name, lambda: B.calculate(text, BANDS, condition, -9999.0), sql)
+    _band(name, lambda: B.calculate(text, {n: F.col(f"b{n}") for n in range(1, 5)}, condition, -9999.0), sql)
 
 
 _expr("band_expr_basic", "(B1 - band2) / (b1 + b2) * 2 ^ 2 - -1", f"({DIV.format(n='b1 - b2', d='b1 + b2')}) * 4 + 1")
@@ -144,16 +143,16 @@ def _triple(cols, names=("r", "g", "b"), digits: int | None = None):
     return [(F.round(c, digits) if digits else c).alias(n) for c, n in zip(cols, names, strict=True)]
 
 
-C3 = (F.col("b1"), F.col("b2"), F.col("b3"))
+C3 = ("b1", "b2", "b3")
 HUE = """m as (select y, x, b1 / 255.0::double r, b2 / 255.0::double g, b3 / 255.0::double b, greatest(b1, b2, b3) / 255.0::double hi, least(b1, b2, b3) / 255.0::double lo from g),
  d as (select *, hi - lo dl from m), hh as (select *, case when dl = 0 then 0 when hi = r then 60 * ((((g - b) / dl) + 6) % 6) when hi = g then 60 * ((b - r) / dl + 2) else 60 * ((r - g) / dl + 4) end h from d)"""
-_rgb("rgb_to_hsl", lambda p: p.select("y", "x", *_triple(colors.rgb_to_hsl(*C3), ("h", "s", "l"), 6)), ", " + HUE + " select y, x, round(h, 6) h, round(case when dl = 0 then 0 when (hi + lo) / 2 > 0.5 then dl / (2 - hi - lo) else dl / (hi + lo) end, 6) s, round((hi + lo) / 2, 6) l from hh")
-_rgb("rgb_to_hsv", lambda p: p.select("y", "x", *_triple(colors.rgb_to_hsv(*C3), ("h", "s", "v"), 6)), ", " + HUE + " select y, x, round(h, 6) h, round(case when hi = 0 then 0 else dl / hi end, 6) s, round(hi, 6) v from hh")
-_rgb("hsl_round_trip", lambda p: p.select("y", "x", *_triple([F.round(c, 4) for c in colors.hsl_to_rgb(*colors.rgb_to_hsl(*C3))])), "select y, x, b1::double r, b2::double g, b3::double b from g")
+_rgb("rgb_to_hsl", lambda p: p.select("y", "x", *_triple(colors.rgb_to_hsl(*map(F.col, C3)), ("h", "s", "l"), 6)), ", " + HUE + " select y, x, round(h, 6) h, round(case when dl = 0 then 0 when (hi + lo) / 2 > 0.5 then dl / (2 - hi - lo) else dl / (hi + lo) end, 6) s, round((hi + lo) / 2, 6) l from hh")
+_rgb("rgb_to_hsv", lambda p: p.select("y", "x", *_triple(colors.rgb_to_hsv(*map(F.col, C3)), ("h", "s", "v"), 6)), ", " + HUE + " select y, x, round(h, 6) h, round(case when hi = 0 then 0 else dl / hi end, 6) s, round(hi, 6) v from hh")
+_rgb("hsl_round_trip", lambda p: p.select("y", "x", *_triple([F.round(c, 4) for c in colors.hsl_to_rgb(*colors.rgb_to_hsl(*map(F.col, C3)))])), "select y, x, b1::double r, b2::double g, b3::double b from g")
 BYTE = "cast(floor(least(greatest({v}, 0), 255)) as integer)"
-_rgb("adjust_colors", lambda p: p.select("y", "x", *_triple(colors.adjust(*C3, colors.Adjust(brightness=0.1, contrast=0.25)))), "select y, x, " + ", ".join(BYTE.format(v=f"(b{i} + 0.1::double * 255 - 128) * 1.5::double + 128") + f" {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " from g")
-_rgb("adjust_gamma", lambda p: p.select("y", "x", *_triple(colors.adjust(*C3, colors.Adjust(gamma=2.0)))), "select y, x, " + ", ".join(BYTE.format(v=f"sqrt(b{i} / 255.0::double) * 255") + f" {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " from g")
-_rgb("preset_black_white", lambda p: p.select("y", "x", *_triple(colors.preset("black_white", *C3))), ", k as (select y, x, " + ", ".join(f"least(greatest((b{i} - 128) * 1.2::double + 128, 0), 255) c{i}" for i in (1, 2, 3)) + " from g) select y, x, " + ", ".join(BYTE.format(v="(greatest(c1 / 255, c2 / 255, c3 / 255) + least(c1 / 255, c2 / 255, c3 / 255)) / 2.0::double * 255") + f" {c}" for c in "rgb") + " from k")
+_rgb("adjust_colors", lambda p: p.select("y", "x", *_triple(colors.adjust(*map(F.col, C3), colors.Adjust(brightness=0.1, contrast=0.25)))), "select y, x, " + ", ".join(BYTE.format(v=f"(b{i} + 0.1::double * 255 - 128) * 1.5::double + 128") + f" {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " from g")
+_rgb("adjust_gamma", lambda p: p.select("y", "x", *_triple(colors.adjust(*map(F.col, C3), colors.Adjust(gamma=2.0)))), "select y, x, " + ", ".join(BYTE.format(v=f"sqrt(b{i} / 255.0::double) * 255") + f" {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " from g")
+_rgb("preset_black_white", lambda p: p.select("y", "x", *_triple(colors.preset("black_white", *map(F.col, C3)))), ", k as (select y, x, " + ", ".join(f"least(greatest((b{i} - 128) * 1.2::double + 128, 0), 255) c{i}" for i in (1, 2, 3)) + " from g) select y, x, " + ", ".join(BYTE.format(v="(greatest(c1 / 255, c2 / 255, c3 / 255) + least(c1 / 255, c2 / 255, c3 / 255)) / 2.0::double * 255") + f" {c}" for c in "rgb") + " from k")
 _rgb("levels_lut", lambda p: p.select("y", "x", colors.lookup(colors.levels_table(20, 220, 1.0, 10, 240), F.col("b1")).alias("v")), "select y, x, " + BYTE.format(v="10 + (case when b1 <= 20 then 0 when b1 >= 220 then 1 else (b1 - 20) / 200.0::double end) * 230.0::double") + " v from g")
 _rgb("curve_two_points", lambda p: p.select("y", "x", colors.lookup(colors.curve_table([(0, 255), (255, 0)]), F.col("b1")).alias("v")), "select y, x, case when b1 = 0 then 255 when b1 = 255 then 0 else " + BYTE.format(v="255 + t * (-127.5 + t * (3 * -255 + 2 * 127.5 + 127.5 + t * (-127.5 - 127.5 + 2 * 255)))") + " end v from (select *, b1 / 255.0::double t from g)")
 _rgb("white_balance", lambda p: R.white_balance(p), ", a as (select avg(b1) r, avg(b2) g, avg(b3) b from g) select y, x, " + ", ".join(BYTE.format(v=f"b{i} * ((a.r + a.g + a.b) / 3 / a.{c})") + f" b{i}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " from g, a")
