@@ -201,7 +201,7 @@ def from_xml(text: str) -> LayerMetadata:
         pick = lambda tag: (re.search(rf"<{tag}>([^<]*)</{tag}>", text) or [None, ""])[1]
         return LayerMetadata(pick("Name"), pick("AliasName"), srid=crs.epsg_of(text) or (int(pick("WKID")) if pick("WKID").isdigit() else None))
     get = lambda e, tag: (e.findtext(f".//{tag}") or "")
-    shapes = {v: k for k, v in reversed(GEOMETRY_TYPES.items())}
+    shapes = {v: k for k, v in GEOMETRY_TYPES.items()}
     kinds = {"esriFieldTypeInteger": "Integer", "esriFieldTypeDouble": "Real", "esriFieldTypeString": "String", "esriFieldTypeDate": "DateTime", "esriFieldTypeBlob": "Binary"}
     fields = [
         {"name": get(e, "Name"), "type": kinds.get(get(e, "FieldType"), "String"), "alias": get(e, "AliasName"), "width": int(get(e, "Length") or 0), "nullable": get(e, "IsNullable") != "false"}

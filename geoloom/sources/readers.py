@@ -111,14 +111,13 @@ def read_geojson(spark: SparkSession, path: str, first_row_schema: bool = False)
 
 def _infer(parts: DataFrame) -> T.StructType:
     """Schema of all properties: each name's common type, nested values as text."""
-    keys = parts.where("p is not null").select(F.explode(F.json_object_keys("p")).alias("k"), "p")
-    value = F.try_variant_get(F.parse_json("p"), F.concat(F.lit("$['"), "k", F.lit("']")), "variant")
-    kinds = keys.groupBy("k").agg(F.schema_of_variant_agg(value).alias("t"), F.min(F.monotonically_increasing_id()).alias("i")).orderBy("i").collect()
+    pairs = parts.where("p is not null").select(F.posexplode(F.json_object_keys("p")).alias("i", "k"), F.try_parse_json("p").cast("map<string,variant>").alias("m"))
+    kinds = pairs.groupBy("k").agg(F.schema_of_variant_agg(F.try_element_at("m", "k")).alias("t"), F.min("i").alias("i")).orderBy("i", "k").collect()
     out = []
     for r in kinds:
         t = r["t"].upper()
-        kind = T.LongType() if t in ("BIGINT", "TINYINT", "SMALLINT", "INT") else T.BooleanType() if t == "BOOLEAN" else T.DoubleType() if t.startswith(("DOUBLE", "DECIMAL", "FLOAT")) else T.StringType()
-        out.append(T.StructField(r["k"], kind))
+        whole, real = t in ("BIGINT", "INT", "SMALLINT", "TINYINT"), t.startswith(("DOUBLE", "DECIMAL", "FLOAT"))
+        out.append(T.StructField(r["k"], T.LongType() if whole else T.DoubleType() if real else T.BooleanType() if t == "BOOLEAN" else T.StringType()))
     return T.StructType(out)
 
 
