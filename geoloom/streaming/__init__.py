@@ -13,7 +13,8 @@ def tile_counts(events: DataFrame, window: str, zoom: int, ts: str = "ts", water
 
     A stream needs a ``watermark``; windows then close once it has passed them, and later events are dropped.
     """
-    rows = events.withWatermark(ts, watermark) if watermark else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, watermark) if watermark else rows
     x, y = tiles.lonlat_to_tile(F.col("lon"), F.col("lat"), F.lit(zoom))
     counts = rows.groupBy(F.window(ts, window).alias("w"), x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
     return counts.select(F.unix_timestamp("w.start").alias("start"), "x", "y", "n")
