@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import slices
 from .storage import materialize
 from .wordbpe import encoder
 
@@ -77,14 +78,15 @@ def _batch(groups: list, is_open: bool) -> pa.RecordBatch:
 
 def _pack(path: str, capacity: int, bins: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(path).encode_all, end_id.to_bytes(4, "little")
         packer = BestFit(capacity, bins, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    packer.add(len(cut) // 4, [[key, piece, at // 4, len(cut) // 4, zlib.crc32(cut), 0, 0]])
+            for part in slices(batch):
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[at : at + 4 * capacity]
+                        packer.add(len(cut) // 4, [[key, piece, at // 4, len(cut) // 4, zlib.crc32(cut), 0, 0]])
             if packer.closed:
                 yield _batch(packer.closed, False)
                 packer.closed = []

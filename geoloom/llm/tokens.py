@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .held import slices
 from .storage import exists, new_path
 from .wordbpe import encoder, tokenizer_version
 
@@ -24,10 +25,11 @@ def content_digest(text):
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in batches:
-            counts = [len(encode(t)) // 4 for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_digest"), pa.array(counts, pa.int64())], ["_digest", "_n"])
+            for part in slices(batch):
+                counts = [len(ids) // 4 for ids in encode(part.column("_text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("_digest"), pa.array(counts, pa.int64())], ["_digest", "_n"])
 
     return run
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
+import re
 
 import numpy as np
 
+from .held import keep
+
 
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer file and of the library that reads it."""
@@ -21,12 +23,22 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()[:16]
 
 
+#: The pre-tokenizer pattern for which chunks can be cut further here, and the same for lower-case Latin-1 text.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LATIN = re.compile("[\t\n -~À-ÿ]+")
+WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
+
+
 class WordEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without added special tokens."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without added special tokens.
+
+    A text of plain Latin letters, digits and signs is cut into its pre-tokens here; new ones reach the library many
+    at a time, told apart by the word-end mark of their last piece.  Any other text is cut at spaces only.
+    """
 
     LONG = 48  # longer chunks are encoded but not remembered
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -41,41 +53,75 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.new, self.old = limit, {}, {}
+        pattern = next((p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"), None)
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        end = spec["model"].get("end_of_word_suffix")
+        self.latin = self.chunked and pattern == SPLIT and steps == ["NFC", "Replace", "Lowercase"] and bool(end)
+        if self.latin:
+            ids = spec["model"]["vocab"]
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for t, i in ids.items() if t.endswith(end)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.chunked:
-            return self._ids([text])[0]
-        chunks, new = text.split(" "), self.new
-        try:
-            return b"".join([new[c] for c in chunks])
-        except KeyError:
-            pass
-        extra, old, miss = {}, self.old, set()
-        for c in chunks:
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    miss.add(c)
-        todo = list(miss)
-        for c, ids in zip(todo, self._ids(todo), strict=True):
-            (new if len(c) <= self.LONG else extra)[c] = ids
-        out = b"".join([new[c] if c in new else extra[c] for c in chunks])
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]):
+        """Ids of each text in turn; new chunks of some hundred thousand characters are looked up together."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < 400_000):
+                size += len(texts[end] or "")
+                end += 1
+            part = texts[at:end]
+            at = end
+            if not self.chunked:
+                yield from (ids if t else b"" for t, ids in zip(part, self._ids([t or "" for t in part]), strict=True))
+                continue
+            lists = [self._cut(t or "") for t in part]
+            new, old, extra = self.new, self.old, {}
+            miss = set().union(*lists).difference(new)
+            known = miss & old.keys() if old else ()
+            for c in known:
+                new[c] = old[c]
+            for c, ids in self._look_up(miss.difference(known)):
+                (new if len(c) <= self.LONG else extra)[c] = ids
+            if extra:
+                yield from (b"".join([new[c] if c in new else extra[c] for c in x]) for x in lists)
+            else:
+                yield from (b"".join([new[c] for c in x]) for x in lists)
+            if len(new) > self.limit:
+                self.old, self.new = new, {}
+
+    def _cut(self, text: str) -> list[str]:
+        if self.latin and LATIN.fullmatch(text) and "<|" not in text:
+            return WORD.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _look_up(self, miss: set[str]) -> list[tuple[str, bytes]]:
+        words = [c for c in miss if self.latin and WORD.fullmatch(c) and LATIN.fullmatch(c) and "<|" not in c]
+        other = list(miss.difference(words))
+        out = list(zip(other, self._ids(other), strict=True)) if other else []
+        if words:
+            ids = np.frombuffer(self._ids([" ".join(words)])[0], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(words, (4 * stops).tolist(), strict=True):
+                    out.append((w, raw[at:stop]))
+                    at = stop
+            else:  # a pre-token that ends in no mark: one by one
+                out += zip(words, self._ids(words), strict=True)
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker, kept from task to task."""
+    """The encoder of this Python worker, kept from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return keep(("words", path), lambda: WordEncoder(path))
