@@ -121,6 +121,22 @@ def _make_box(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Seri
     ], dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def make_line(points: pd.Series) -> pd.Series:
+    """LineString of an array of ``[x, y]`` arrays."""
+    return pd.Series([None if p is None or len(p) == 0 else model.to_wkb((model.LINE, model.ring([list(q) for q in p]))) for p in points], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def make_polygon(rings: pd.Series) -> pd.Series:
+    """Polygon of an array of rings, the outer first; rings are closed."""
+    out = []
+    for rs in rings:
+        g = None if rs is None or len(rs) == 0 else planar.close_rings((model.POLYGON, [model.ring([list(q) for q in r]) for r in rs]))
+        out.append(None if g is None else model.to_wkb(g))
+    return pd.Series(out, dtype=object)
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Rectangle as a WKB polygon."""
     return _make_box(x0, y0, x1, y1)

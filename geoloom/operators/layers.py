@@ -69,6 +69,20 @@ def merge_fields(a: list[str], b: list[str], strategy: str, prefix: str = "l2_")
     return [("a", x, x) for x in a] + [("b", x, prefix + x) for x in b]
 
 
+def map_features(layer: DataFrame, f, schema: T.StructType | str) -> DataFrame:
+    """``f(row as a dict) -> dict or None`` for every feature; None leaves it out.  Rows come and go in Arrow batches."""
+    import pandas as pd
+
+    names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+
+    def run(frames):
+        for frame in frames:
+            found = [x for x in map(f, frame.to_dict("records")) if x is not None]
+            yield pd.DataFrame([[x.get(n) for n in names] for x in found], columns=names, dtype=object)
+
+    return layer.mapInPandas(run, schema)
+
+
 # --- identifiers ---------------------------------------------------------------------------------------------
 
 

@@ -431,11 +431,9 @@ def tiler(spark, width: int, height: int, tile_w: int, tile_h: int, overlap_x: i
     t = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
     t = t.withColumns({"x": F.col("col") * step_x, "y": F.col("row") * step_y})
     t = t.withColumns({"width": F.least(F.lit(tile_w), F.lit(width) - F.col("x")), "height": F.least(F.lit(tile_h), F.lit(height) - F.col("y"))})
-    # A tile is kept where its column and its row are, so its number follows without a pass over all tiles.
+    # Left-out rows are the last ones, so a kept tile's number follows from its row and column.
     kept_cols = [c for c in range(cols) if min(tile_w, width - c * step_x) >= tile_w // 4]
-    kept_rows = [r for r in range(rows) if min(tile_h, height - r * step_y) >= tile_h // 4]
     t = t.where((F.col("width") >= tile_w // 4) & (F.col("height") >= tile_h // 4))
-    del kept_rows
     index = F.col("row") * len(kept_cols) + F.col("col") + start
     return t.select(F.format_string(prefix + "_%d_r%d_c%d", index, "row", "col").alias("name"), index.cast("int").alias("index"), "row", "col", "x", "y", "width", "height")
 

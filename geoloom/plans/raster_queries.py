@@ -311,3 +311,21 @@ def events_tile_counts(spark, sf_dir):
     from ..streaming import tile_counts
 
     return tile_counts(points(spark, sf_dir), "1 hour", 3)
+
+
+@query(f"with {R_SQL}, {P_SQL} select p.id, cast(count(*) as bigint) pixels, round(sum(v), 6) total from p join r on r.x + 0.5 > p.x0 and r.x + 0.5 < p.x1 and r.y + 0.5 > p.y0 and r.y + 0.5 < p.y1 group by p.id")
+def clip_raster_by_features(spark, sf_dir):
+    """As the rectangles above, through the polygon kernel."""
+    from ..functions import geometry as G
+    from ..operators import raster_geometry as RG
+
+    p = parcels(spark, sf_dir).select("id", G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("geom"))
+    out = RG.clip_by_features(raster(spark, sf_dir).withColumn("band", F.lit(1)), p, "id")
+    return out.groupBy("id").agg(F.count("*").alias("pixels"), F.round(F.sum("v"), 6).alias("total"))
+
+
+@query(f"with {LONG_SQL} select case band when 3 then 1 when 1 then 2 end band, y, x, v from l where band in (1, 3)")
+def merge_bands(spark, sf_dir):
+    from ..operators import raster_geometry as RG
+
+    return RG.pick_bands(long_rgb(spark, sf_dir), [3, 1]).select("band", "y", "x", "v")

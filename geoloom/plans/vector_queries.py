@@ -140,9 +140,7 @@ def self_overlap_pairs(spark, sf_dir):
 def self_overlap_rest(spark, sf_dir):
     z = boxed(zones(spark, sf_dir)).select("id", "geom")
     out = dissolve.self_overlap(z.withColumn("whole", F.lit(1)), "id")
-    # the rests come first; common parts carry their first feature's fields as well, so tell them apart by area in both
-    pairs = overlay.envelope_pairs(zones(spark, sf_dir), zones(spark, sf_dir), CELL).where("a_id < b_id")
-    del pairs
+    # common parts carry their first feature's fields too; leave them out by their shape
     rest = out.withColumn("wkt", G.as_wkt(F.col("geom")))
     common = overlay.intersect_boxes(zones(spark, sf_dir), zones(spark, sf_dir), CELL).where("a_id < b_id").select(G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("g"))
     common = common.select(G.as_wkt(G.to_multi_polygon(F.col("g"))).alias("wkt")).distinct()

@@ -200,6 +200,12 @@ def read_postgis(spark: SparkSession, url: str, table: str, columns: list[str],
     return r.load()
 
 
+def table_structure(spark: SparkSession, url: str, table: str, **options) -> list[tuple[str, str, bool]]:
+    """``(column, layer type, nullable)`` of a database table; no rows are read."""
+    schema = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load().schema
+    return [(f.name, types.of_spark(f.dataType), f.nullable) for f in schema]
+
+
 def tile_predicates(geom: str, srid: int, bounds: tuple[float, float, float, float], n: int) -> list[str]:
     """One WHERE clause for each tile of an n x n grid, for ``spark.read.jdbc(predicates=...)``: a partition each."""
     x0, y0, x1, y1 = bounds

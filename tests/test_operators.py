@@ -367,3 +367,63 @@ def test_streams(spark, sf, tmp_path):
     q.stop()
     want = static.where("lon >= -90 and lon < 10 and lat >= -40 and lat < 40").count() + static.where("lon >= 0 and lon < 90 and lat >= 0 and lat < 80").count()
     assert spark.sql("select * from hits").count() == want > 0
+
+
+# --- rasters and polygons, bands, canvases, table functions --------------------------------------------------
+
+
+def test_raster_geometry(spark):
+    from geoloom.operators import raster_geometry as RG
+    from geoloom.sources import codecs
+
+    px = grid(spark, np.arange(100.0).reshape(10, 10), band=1)
+    layer = shapes(spark, (1, "tri", model.polygon([(0, 0), (10, 0), (0, 10), (0, 0)])), (2, "ring", model.polygon([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(2, 2), (8, 2), (8, 8), (2, 8), (2, 2)])))
+    counts = {r["id"]: r["n"] for r in RG.clip_by_features(px, layer, "id").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert counts[2] == 64 and counts[1] in (45, 55)
+    world = RG.clip_by_features(px, shapes(spark, (1, "w", model.box(100, 80, 104, 90))), "id", (100.0, 1.0, 0.0, 90.0, 0.0, -1.0))
+    assert sorted((r["y"], r["x"]) for r in world.collect()) == [(y, x) for y in range(10) for x in range(4)]
+    gt = (0.0, 0.01, 0.0, 0.1, 0.0, -0.01)
+    k = 111319.49079327358
+    back = RG.reproject(px, gt, 4326, 3857, (0.0, 0.01 * k, 0.0, 0.1 * k, 0.0, -0.01 * k), 10, 10)
+    assert array(back, (10, 10)).tolist() == np.arange(100.0).reshape(10, 10).tolist()
+    assert RG.transformed_geotransform((0, 1, 0, 0, 0, -1), 5, 6, 2, 90)[:1] == (5,)
+    two = RG.add_band(px, 2, F.col("v") * 2)
+    assert [r["v"] for r in RG.pick_bands(two, [2]).where("y = 0 and x = 3").collect()] == [6.0] and RG.remove_band(two, 1).agg(F.max("band")).first()[0] == 1
+    with pytest.raises(ValueError):
+        RG.pick_bands(px, [])
+    head = spark.createDataFrame([(1,)], "width int")
+    meta = RG.set_band_metadata(RG.set_band_metadata(head, 1, unit="m", scale="2"), 1, unit="km").first()["band_metadata"]
+    assert meta == {"1.unit": "km", "1.scale": "2"}
+    tile = codecs.write_png(np.full((4, 4, 3), 9, np.uint8))
+    out = RG.paste(spark.createDataFrame([("c", tile, 2, 3), ("c", tile, -2, -2)], "raster string, tile binary, x int, y int"), 8, 8).first()["content"]
+    img = codecs.read_png(bytes(out))
+    assert img[3, 2].tolist() == [9, 9, 9, 255] and img[1, 1].tolist() == [9, 9, 9, 255] and img[7, 7].tolist() == [0, 0, 0, 0]
+    done = RG.ColorPipeline(px).then(R.apply_filter, "mean", 4).then(R.overview, 2)
+    with pytest.raises(ValueError):
+        done.result()
+    assert RG.ColorPipeline(px).then(R.overview, 2).result().count() == 25
+    assert RG.balance_many({"a": px}, px, "regression") == {"a": None}
+
+
+def test_session_helpers(spark):
+    from geoloom import session
+    from geoloom.functions.tables import register_table_functions
+
+    register_table_functions(spark)
+    assert spark.sql("select count(*) n from geo_cells(0D, 0D, 25D, 15D, 10D)").first()["n"] == 6
+    G.register_functions(spark)
+    assert spark.sql("select count(*) n from raster_tiles(100, 50, 32)").first()["n"] == 8
+    df, o = session.counted(spark.range(7))
+    df.collect()
+    assert o.get["n"] == 7
+    with session.cancellable(spark, "t"):
+        assert "t" in spark.sparkContext.getJobTags()
+    session.progress(spark, lambda done, total: None)
+
+
+def test_constructors_and_map(spark):
+    df = spark.createDataFrame([([[0.0, 0.0], [1.0, 1.0]], [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0]]])], "l array<array<double>>, p array<array<array<double>>>")
+    r = df.select(G.as_wkt(G.make_line("l")).alias("l"), G.area(G.make_polygon("p")).alias("a")).first()
+    assert r["l"] == "LINESTRING (0 0,1 1)" and r["a"] == 2
+    out = layers.map_features(shapes(spark, (1, "a", None), (2, "b", None)), lambda f: {"k": f["id"] * 10} if f["id"] > 1 else None, "k int")
+    assert [x["k"] for x in out.collect()] == [20]
