@@ -75,7 +75,7 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n"))))
     return found.select(
         "doc_id", "n_lines", F.array_join("removed_lines", ",").alias("removed_lines"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_crc32"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
     )
 
 
