@@ -128,6 +128,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     named = materialize(named, "line-runs")
     first = named.groupBy("_len", "_p", "_q").agg(F.min("_place").alias("_first"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
+    first = materialize(first, "line-firsts")  # so that the join deals both sides itself and can split a hot run
     later = named.join(first, ["_len", "_p", "_q"]).where("_place <> _first")
     gone = later.select("_doc", F.explode(F.sequence(F.col("_j"), F.col("_j") + F.col("_len") - 1)).alias("_j")).distinct()
     numbers = gone.join(at.select("_doc", "_j", "_i"), ["_doc", "_j"])

@@ -169,6 +169,7 @@ def near_duplicates(
     sizes = at.groupBy("_cell").agg(
         F.ceil(F.count_if(F.col("_p") == 0) / BLOCK).alias("_hb"), F.ceil(F.count("*") / (2 * BLOCK)).alias("_lb")
     ).where("_hb > 0")
+    sizes = materialize(sizes, "cell-sizes")  # so that the join deals both sides itself and can split a hot cell
     dealt = at.join(sizes, "_cell").withColumn("_h", F.xxhash64("_node", F.lit(9)))
     sides = [
         dealt.where("_p = 0").select(

@@ -60,7 +60,9 @@ def count_tokens(
         .select("_digest", "_text")
     )
     misses.mapInArrow(_encode(tokenizer_path), "_digest binary, _n long").write.mode("append").parquet(home)
-    counts = _cache(spark, home).groupBy("_digest").agg(F.max("_n").alias("_n"))
+    counts = _cache(spark, home)
+    if counts.groupBy("_digest").agg(F.count("*").alias("_k")).where("_k > 1").take(1):
+        counts = counts.groupBy("_digest").agg(F.max("_n").alias("_n"))  # rows that are repeated whole were stored twice
     sized = keyed.select("_id", F.octet_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n_bytes"), "_digest")
     return sized.join(counts, "_digest").select(F.col("_id").alias(id_col), "n_bytes", F.col("_n").alias("n_tokens"))
 

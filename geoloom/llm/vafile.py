@@ -114,6 +114,7 @@ def top_k(
         "_dim", F.greatest(F.lit(1), F.ceil(F.col("_rows") / block)).alias("_blocks"),
         F.greatest(F.lit(1), F.ceil(F.col("_asks") / query_block)).alias("_q_blocks"),
     )
+    sizes = F.broadcast(materialize(sizes, "va-sizes"))  # a row for each length of vectors there is
     sized = v.join(sizes, "_dim")
     file = materialize(
         sized.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks"))).groupBy("_dim", "_block").applyInPandas(_pack(bits), PACKED), "va-file"
