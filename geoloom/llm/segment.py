@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import keep, slices
 from .shingles import U, mix
 
 SPACE = "▁"
@@ -34,6 +36,8 @@ class Pieces:
         self.text = [self.model.id_to_piece(i) for i in range(self.size)]
         plain = [i for i in range(self.size) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i))]
         self.bytes_at = next(i for i in range(self.size) if self.model.is_byte(i))
+        #: Where no piece holds a letter next to anything but a letter, words and signs are chunks of their own.
+        self.pattern = SPACED if any(CROSSED.search(self.text[i]) for i in plain) else WORDS
         self.log = np.full(self.size, NONE)
         for rank, i in enumerate(plain, 1):
             self.log[i] = -np.log(rank + 1.0)
@@ -70,19 +74,20 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def chunks_of(text: str) -> list[str]:
-    """Stretches that no piece crosses: each word with the space before it, and line ends on their own."""
-    if not text:
-        return []
-    lines = text.split("\n")
-    out = [SPACE + w for w in lines[0].split(" ")]
-    for line in lines[1:]:
-        out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out += [SPACE + w for w in rest]
-    return out
+LETTER = "[^\\W\\d_²³¹¼½¾]"
+CROSSED = re.compile(f"{LETTER}(?!{SPACE}|{LETTER})[^\\n]|(?!{SPACE}|{LETTER})[^\\n]{LETTER}")
+WORDS = re.compile(f"\\n|{SPACE}?{LETTER}+|{SPACE}?(?:(?!{LETTER})[^{SPACE}\\n])+|{SPACE}")
+#: The same for texts of these characters, whose letters are quickly told.
+LATIN = re.compile("[\\t\\n -~À-ÿ]*")
+LATIN_WORDS = re.compile(WORDS.pattern.replace(LETTER, "[A-Za-zÀ-ÖØ-öø-ÿ]"))
+SPACED = re.compile(f"\\n|{SPACE}?[^{SPACE}\\n]+|{SPACE}")
+
+
+def chunks_of(text: str, pattern: re.Pattern = SPACED) -> list[str]:
+    """Stretches that no piece crosses, in order; the space in front of a word belongs to it, and the text gets one too."""
+    if pattern is WORDS and LATIN.fullmatch(text):
+        pattern = LATIN_WORDS
+    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Lattices:
@@ -92,21 +97,24 @@ class Lattices:
     so that a few vector steps from a node's first edge on draw an edge of every node of a batch.
     """
 
-    def __init__(self, pieces: Pieces, limit: int = 3_000_000):
+    def __init__(self, pieces: Pieces, limit: int = 12_000_000):
         self.pieces, self.limit = pieces, limit
+        room = limit + limit // 4  # asked for once; pages are taken as they fill
+        self.cum, self.logp = np.empty(room), np.empty(room, np.float32)
+        self.next, self.piece = np.empty(room, np.int32), np.empty(room, np.int32)
+        self.final, self.first = np.zeros(room, bool), np.zeros(room, np.int32)
         self.reset()
 
     def reset(self) -> None:
         self.start: dict[str, int] = {}
         self.nodes, self.edges = 0, 0
-        self.cum, self.logp = np.empty(1 << 16), np.empty(1 << 16, np.float32)
-        self.next, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
-        self.final = np.zeros(1 << 16, bool)
-        self.first = np.zeros(1 << 16, np.int32)
 
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
+    def _grow(self, edges: int, nodes: int) -> None:
+        for names, size in ((("cum", "logp", "next", "piece"), edges), (("final", "first"), nodes)):
+            for name in names:
+                a = getattr(self, name)
+                if size > len(a):
+                    setattr(self, name, np.concatenate([a, np.empty(size + size // 4 - len(a), a.dtype)]))
 
     def add(self, chunks: list[str]) -> None:
         p = self.pieces
@@ -143,10 +151,10 @@ class Lattices:
                     c = code[odd]
                     logs.append(p.BYTE_LOG * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
                     dst.append(at[odd] + 1)
-        src, dst, ids, logs = (np.concatenate(x) for x in (src, dst, ids, logs))
+        # Longest first, as long pieces are likely ones: few steps find the drawn edge of a node.
+        src, dst, ids, logs = (np.concatenate(x[::-1]) for x in (src, dst, ids, logs))
         # Backward sums, all chunks at once, from the characters next to the ends outwards.
-        order = np.argsort(left[src], kind="stable")
-        order = order[np.lexsort((src[order], left[src[order]]))]
+        order = np.argsort(left[src] * len(code) + src, kind="stable")
         away = left[src[order]]
         cuts = np.searchsorted(away, np.arange(1, int(left.max(initial=0)) + 2))
         beta = np.zeros(total)
@@ -159,7 +167,7 @@ class Lattices:
             wide = np.repeat(top, np.diff([*heads, len(e)]))
             beta[at[s[heads]]] = top + np.log(np.add.reduceat(np.exp(v - wide), heads))
         cond = logs + beta[dst] - beta[at[src]]
-        order = np.lexsort((-cond, src))  # likely edges first: few steps find the drawn one
+        order = np.argsort(src, kind="stable")
         src, dst, ids, cond = src[order], dst[order], ids[order], cond[order]
         prob = np.exp(cond)
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
@@ -167,8 +175,7 @@ class Lattices:
         within = run - np.repeat(run[heads] - prob[heads], np.diff([*heads, len(src)]))
         within[np.concatenate([heads[1:] - 1, [len(src) - 1]])] = 1.0
         n, m = self.edges + len(src), self.nodes + total
-        for name, size in (("cum", n), ("logp", n), ("next", n), ("piece", n), ("final", m), ("first", m)):
-            setattr(self, name, self._room(getattr(self, name), size))
+        self._grow(n, m)
         new = slice(self.edges, n)
         self.cum[new] = at[src] + self.nodes + np.minimum(within, 1.0)
         self.logp[new], self.next[new], self.piece[new] = np.minimum(cond, 0), dst + self.nodes, ids
@@ -180,11 +187,10 @@ class Lattices:
         self.nodes, self.edges = m, n
 
     def nodes_of(self, chunks: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.start.__getitem__, chunks), np.int32, len(chunks))
-        except KeyError:
-            self.add(list({c for c in chunks if c not in self.start}))
-            return np.fromiter(map(self.start.__getitem__, chunks), np.int32, len(chunks))
+        new = set(chunks).difference(self.start)
+        if new:
+            self.add(list(new))
+        return np.fromiter(map(self.start.__getitem__, chunks), np.int32, len(chunks))
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
@@ -256,7 +262,7 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
     segmentation lies in the region with the largest value; it is drawn there and splits the region along its
     path.  Masses are exact, as each node's edges are normalised by backward sums.
     """
-    lists = [chunks_of(t) for t in texts]
+    lists = [chunks_of(t, lat.pieces.pattern) for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     node = lat.nodes_of([c for x in lists for c in x])
     base = mix(np.array([x % 2**64 for x in keys], np.uint64))
@@ -347,13 +353,9 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
     return out
 
 
-_KEPT: dict[str, Lattices] = {}
-
-
 def lattices(path: str) -> Lattices:
-    if path not in _KEPT:
-        _KEPT[path] = Lattices(Pieces(path))
-    return _KEPT[path]
+    """The lattices of this Python worker, kept from task to task."""
+    return keep(("pieces", path), lambda: Lattices(Pieces(path)))
 
 
 SCHEMA = "_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, restored boolean"
@@ -364,7 +366,7 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(path)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(ids):
@@ -375,9 +377,14 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
                 part = [t or "" for t in texts[at:end]]
                 keys = [xxhash.xxh3_64_intdigest(f"{seed}/{i}") for i in ids[at:end]]
                 rows = []
+                raw = lat.pieces.raw.__getitem__
                 for i, text, found in zip(ids[at:end], part, sample_texts(lat, part, keys, k), strict=True):
+                    # what decoding must give, before spaces are put back; a space mark of the text's own would become one
+                    marked = (SPACE + text.replace(" ", SPACE)).encode("utf-8", "surrogatepass") if text else b""
+                    plain = SPACE not in text
                     for n, (pieces, logp, value, inclusion) in enumerate(found, 1):
-                        row = (i, n, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), logp, value, inclusion, lat.pieces.decode(pieces.tolist()) == text)
+                        restored = plain and b"".join(map(raw, pieces.tolist())) == marked
+                        row = (i, n, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), logp, value, inclusion, restored)
                         rows.append((*row, pieces.tolist()) if with_ids else row)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names)
