@@ -36,14 +36,40 @@ def cells(layer: DataFrame, size: float, prefix: str) -> DataFrame:
     return out.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
 
+def _level(prefix: str, size: float) -> Column:
+    """Doublings of the cell after which an envelope covers few cells; 0 up to four cells wide."""
+    span = F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
+    return F.greatest(F.ceil(F.log2(F.greatest(span, F.lit(size)) / (4.0 * size))), F.lit(0)).cast("int")
+
+
+def _leveled(layer: DataFrame, size: float, prefix: str, other_top: int) -> DataFrame:
+    """:func:`cells` at a feature's own level and at the coarser ones that the other layer has."""
+    out = layer.select(*[F.col(c).alias(f"{prefix}{c}") for c in layer.columns]).withColumn(f"_{prefix}level", _level(prefix, size))
+    out = out.withColumn("_level", F.explode(F.sequence(F.col(f"_{prefix}level"), F.greatest(F.col(f"_{prefix}level"), F.lit(other_top)))))
+    width = size * F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(prefix + lo) / width), F.floor(F.col(prefix + hi) / width))
+    return out.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
+
+
 def envelope_pairs(a: DataFrame, b: DataFrame, size: float | None = None, *, touching: bool = False) -> DataFrame:
-    """Pairs whose envelopes overlap (or touch): all columns of both, prefixed ``a_`` and ``b_``."""
+    """Pairs whose envelopes overlap (or touch): all columns of both, prefixed ``a_`` and ``b_``.
+
+    Features far wider than a cell are listed in cells of twice, four times ... the width, so none is listed more
+    than some dozen times; a pair meets at the coarser of its two levels.
+    """
     size = size or cell_size(a, b)
-    j = cells(a, size, "a_").join(cells(b, size, "b_"), ["_cx", "_cy"])
+    tops = [x.agg(F.max(_level("", size)).alias("t")) for x in (a, b)]
+    top_a, top_b = (r["t"] or 0 for r in tops[0].unionAll(tops[1]).collect())
+    if top_a == top_b == 0:
+        j = cells(a, size, "a_").join(cells(b, size, "b_"), ["_cx", "_cy"])
+        width, level = F.lit(size), F.lit(True)
+    else:
+        j = _leveled(a, size, "a_", top_b).join(_leveled(b, size, "b_", top_a), ["_level", "_cx", "_cy"])
+        width, level = size * F.pow(F.lit(2.0), F.col("_level")), F.col("_level") == F.greatest("_a_level", "_b_level")
     less = (lambda x, y: F.col(x) <= F.col(y)) if touching else (lambda x, y: F.col(x) < F.col(y))
     hit = less("a_xmin", "b_xmax") & less("b_xmin", "a_xmax") & less("a_ymin", "b_ymax") & less("b_ymin", "a_ymax")
-    here = (F.floor(F.greatest("a_xmin", "b_xmin") / size) == F.col("_cx")) & (F.floor(F.greatest("a_ymin", "b_ymin") / size) == F.col("_cy"))
-    return j.where(hit & here).drop("_cx", "_cy")
+    here = (F.floor(F.greatest("a_xmin", "b_xmin") / width) == F.col("_cx")) & (F.floor(F.greatest("a_ymin", "b_ymin") / width) == F.col("_cy"))
+    return j.where(level & hit & here).drop("_cx", "_cy", "_level", "_a_level", "_b_level")
 
 
 def box_area(prefix: str = "") -> Column:

@@ -69,6 +69,20 @@ def test_overlay_edge_cases(spark):
     assert layers.merge_fields(["ID", "x"], ["id", "y"], "prefer2") == [("b", "id", "id"), ("b", "y", "y"), ("a", "x", "x")]
 
 
+def test_wide_features_meet_at_coarser_levels(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        x, y = rng.uniform(0, 1000, 2)
+        w, h = rng.choice([1.0, 5.0, 60.0, 900.0]), rng.choice([1.0, 5.0, 60.0, 900.0])
+        rows.append((i, float(x), float(y), float(x + w), float(y + h)))
+    df = spark.createDataFrame(rows, "id int, xmin double, ymin double, xmax double, ymax double")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]}
+    for size in (2.0, 30.0, None):
+        got = [(r["a_id"], r["b_id"]) for r in overlay.envelope_pairs(df, df, size).select("a_id", "b_id").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_dissolve(spark):
     df = stars(spark, 900, 30, "g")
     out = dissolve.dissolve(df, ["name"], "id")
