@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import EDGES
+from llm_cases import EDGES
 
 from geoloom.llm import jaccard, licenses, lines, neardup, packing, queries, ring, segment, tokens, toxicity, vafile
 from geoloom.llm.graph import connected_components
