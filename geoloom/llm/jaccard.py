@@ -10,13 +10,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import connected_components
+from .held import drop, slices
 from .shingles import U, mix, shingle_hashes
-from .storage import materialize, release
+from .storage import discard, materialize, release
 
 RATIO = 1.4  # of the sizes that share one way of cutting
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+COMMON_SHARE, MOST_COMMON, TALLY_DOCS = 0.001, 200_000, 2000  # what counts as common, and how many are told apart
+RARE_ORDERS = 3
 COLUMNS = 4096  # of the global order, counted together
 
 
@@ -46,40 +50,50 @@ class Cutter:
 
     The global order is the order of the shingles' hashes, and a fragment is a range of it.  Two linked sets
     differ in at most ``most`` shingles, hence in at most ``most`` fragments; of ``most + 1 + spare`` fragments at
-    least ``1 + spare`` are equal, and one of these isn't empty if either set has at most ``spare`` empty ones.  A set
-    with more empty ones is also cut along further orders until one has few enough, so no link is lost.
+    least ``1 + spare`` are equal, and one of these isn't empty if either set has at most ``spare`` empty ones.
+    This holds for the sets without the shingles that are common in the corpus as well, and common lines and
+    passages alone then never make two texts candidates.  A set whose rarer part has too many empty fragments is
+    also cut along further orders, and if ``RARE_ORDERS`` of them don't do, whole, along as many as it takes; as its
+    partners either did with fewer or do the same, no link is lost.
     """
 
-    def __init__(self, percent: int):
-        self.percent, self.known = percent, {}
+    def __init__(self, percent: int, common: np.ndarray):
+        self.percent, self.common, self.known = percent, common, {}
 
     def plan(self, klass: int) -> tuple[int, int]:
         if klass not in self.known:
             self.known[klass] = fragments(klass, self.percent)
         return self.known[klass]
 
-    def cut(self, h: np.ndarray, klass: int) -> list[np.ndarray]:
+    def cut(self, h: np.ndarray, klass: int, orders: int, salt: int) -> tuple[list[np.ndarray], bool]:
+        """Signatures along one order after the other, until one leaves few fragments empty."""
         count, spare = self.plan(klass)
         out = []
-        for order in range(64):
+        for order in range(orders if len(h) else 0):
             s = h if order == 0 else np.sort(mix(h + U(order * 0x9E3779B97F4A7C15 % 2**64)))
             of = ((s >> U(32)) * U(count)) >> U(32)
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             total = np.add.reduceat(mix(s ^ U(0xA5A5A5A5A5A5A5A5)), first)
-            out.append(mix(total + mix(of[first] + U((klass << 40) + (order << 32)))))
+            out.append(mix(total + mix(of[first] + U((klass << 40) + (order << 32) + (salt << 24)))))
             if count - len(first) <= spare:
-                break
-        return out
+                return out, True
+        return out, False
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
+    def signatures(self, h: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Those of the rarer part, and those of the whole set where they are needed."""
         n = len(h)
-        if differing(n, self.percent) == 0 and differing(max(1, self.percent * n // 100), self.percent) == 0:
-            return np.zeros(0, np.uint64)  # only equal sets link, and these are one node already
-        own = size_class(n)
-        classes = [own]
         least = -(-self.percent * n // 100)  # the smallest partner cuts by its own class
-        classes += range(size_class(max(1, least)), own)
-        return np.concatenate([s for k in classes for s in self.cut(h, k)])
+        if n == 0 or differing(n, self.percent) == 0 and differing(max(1, least), self.percent) == 0:
+            return [], []  # only equal sets link, and these are one node already
+        at = np.searchsorted(self.common, h)
+        rare = h[self.common[np.minimum(at, len(self.common) - 1)] != h] if len(self.common) else h
+        some, whole = [], []
+        for klass in range(size_class(max(1, least)), size_class(n) + 1):
+            found, enough = self.cut(rare, klass, RARE_ORDERS, 0)
+            some += found
+            if not enough:
+                whole += self.cut(h, klass, 64, 1)[0]
+        return some, whole
 
 
 def node_of(h: np.ndarray) -> int | None:
@@ -87,24 +101,66 @@ def node_of(h: np.ndarray) -> int | None:
     return int(mix(mix(h).sum(keepdims=True) + U(len(h))).view(np.int64)[0]) if len(h) else None
 
 
-def _sets(width: int, percent: int):
+def _tally(width: int):
+    """Counts of the shingles that at least three of some thousand texts hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(percent)
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+            often = n > 2
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["_h", "_n"])
+
+        held: list[np.ndarray] = []
+        size = 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    nodes, sizes, sigs, ends = [], [], [], [0]
+                for text in (t for part in slices(batch) for t in part.column(0).to_pylist()):
+                    held.append(shingle_hashes(text, width))
+                    size += len(held[-1])
+                    if len(held) >= TALLY_DOCS and size >= 500_000 or size >= 4_000_000:
+                        yield counted(held)
+                        held, size = [], 0
+            yield counted(held)
+
+    return run
+
+
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that about ``COMMON_SHARE`` of all texts hold, ``MOST_COMMON`` at most.
+
+    The list only decides where candidates are looked for; results are the same with any list.
+    """
+    total = rows.count()
+    dealt = rows.select("_text").coalesce(max(1, total // TALLY_DOCS))
+    found = dealt.mapInArrow(_tally(width), "_h long, _n long").groupBy("_h").agg(F.sum("_n").alias("_n"))
+    found = found.where(F.col("_n") >= max(10, int(total * COMMON_SHARE))).orderBy(F.desc("_n"), "_h").limit(MOST_COMMON)
+    return np.sort(np.asarray(found.select("_h").toArrow().column(0), np.int64).view(np.uint64))
+
+
+def _sets(width: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
+        cutter = Cutter(percent, shared.value)
+        none = np.zeros(0, np.uint64)
+
+        def lists(parts: list[np.ndarray]) -> pa.ListArray:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *parts]).view(np.int64)))
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch):
+                    nodes, sizes, some, whole = [], [], [], []
                     for text in part.column(1).to_pylist():
                         h = shingle_hashes(text, width)
                         sizes.append(len(h))
                         nodes.append(node_of(h))
-                        s = cutter.signatures(h) if len(h) else np.zeros(0, np.uint64)
-                        sigs.append(s.view(np.int64))
-                        ends.append(ends[-1] + len(s))
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs)))
+                        a, b = cutter.signatures(h)
+                        some.append(np.concatenate([none, *a]))
+                        whole.append(np.concatenate([none, *b]))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["_id", "_node", "_n", "_sigs"]
+                        [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(some), lists(whole)],
+                        ["_id", "_node", "_n", "_sigs", "_whole"],
                     )
 
     return run
@@ -114,8 +170,7 @@ def _arrays(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for part in slices(batch):
                     found = [shingle_hashes(t, width) for t in part.column(0).to_pylist()]
                     nodes = pa.array([node_of(h) for h in found], pa.int64())
                     found = [h.view(np.int64) for h in found]
@@ -212,8 +267,8 @@ def jaccard_components(
     at least ``percent`` / 100.
 
     1. Each text becomes a set of shingle hashes (64 bits) and equal sets become one node, so copies never pair.
-    2. Every set is cut along the global order into fragments; sets that share a whole fragment are candidates.
-       A fragment's sets are tied to its smallest node (links grow with the rows, not with their square).
+    2. Every set is cut along the global order into fragments, common shingles left out (:class:`Cutter`); sets that
+       share a fragment are candidates.  Each is tied to one other of them, so ties grow with the rows.
     3. Components of candidates are cut into blocks by size class; for each pair of blocks whose sizes may link,
        partial overlaps are counted fragment by fragment and summed per pair, and a block pair returns a spanning
        forest of its links.  All pairs of a candidate component are compared, so no link between different sets
@@ -225,16 +280,22 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     spark = docs.sparkSession
-    sets = materialize(rows.mapInArrow(_sets(width, percent), "_id long, _node long, _n long, _sigs array<long>"), "sets")
+    common = spark.sparkContext.broadcast(common_shingles(rows, width))  # MOST_COMMON hashes at most
+    schema = "_id long, _node long, _n long, _sigs array<long>, _whole array<long>"
+    sets = materialize(rows.mapInArrow(_sets(width, percent, common), schema), "sets")
+    # Few sets share a fragment of rare shingles: neighbours in it are tied, in one shuffle.
+    order = Window.partitionBy("_sig").orderBy("_node")
     signed = sets.select("_node", F.explode("_sigs").alias("_sig"))
-    shared = materialize(
-        signed.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high")
-        .select("_sig", "_low"), "fragments",
-    )
+    ties = signed.withColumn("_before", F.lag("_node").over(order)).where("_before < _node").select(F.col("_node").alias("u"), F.col("_before").alias("v")).distinct()
+    # A third of all sets may share a whole fragment: tied to its smallest node, from pre-aggregated minima.
+    whole = sets.where(F.size("_whole") > 0).select("_node", F.explode("_whole").alias("_sig")).distinct()
+    low = whole.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high").select("_sig", "_low")
+    hot = whole.join(low, "_sig").select(F.col("_node").alias("u"), F.col("_low").alias("v")).where("u <> v").distinct()
+    ties = materialize(ties.union(hot), "ties")
+    wide, sets = sets, materialize(sets.select("_id", "_node", "_n"), "nodes")
+    discard(wide)  # the signatures, far larger than the rest
     release(spark)
-    ties = signed.join(shared, "_sig").select(F.col("_node").alias("u"), F.col("_low").alias("v")).where("u <> v").distinct()
     candidates = materialize(connected_components(ties, "candidates"), "candidates")
-    release(spark)
     # One row of each candidate node brings its text.
     nodes = sets.where("_node is not null").groupBy("_node", "_n").agg(F.min("_id").alias("_id"))
     wanted = nodes.join(candidates.withColumnRenamed("id", "_node"), "_node").where("_id is not null")
@@ -268,7 +329,9 @@ def jaccard_components(
             none = F.array().cast("array<struct<x:struct<c:int,b:int>,y:struct<c:int,b:int>>>")
             keys.append(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), _beside(d))).otherwise(none))
     spread = (
-        dealt.join(around, ["_root", "_class"])
+        # one component may hold a third of all sets: its few block rows meet them in sixteen shares
+        dealt.withColumn("_share", F.pmod(F.xxhash64("_node", F.lit(5)), F.lit(16)).cast("int"))
+        .join(around.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["_root", "_class", "_share"])
         .withColumn("_at", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_blocks")).cast("int"))
         .select("_node", "_root", F.struct(F.col("_class").alias("c"), F.col("_at").alias("b")).alias("_block"), F.explode(F.concat(*keys)).alias("_pair"))
         .join(arrays, "_node")
