@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import keep, slices
+
 STRIP = ".,;:!?\"'()[]{}<>|*_-"
 PAD = 3  # zero vectors after each text, so that no window spans two texts
 
@@ -46,7 +48,7 @@ def buckets_of(word: str, buckets: int) -> list[int]:
 class Lexicon:
     """Rows of a growing matrix for the words met, bounded: past ``limit`` words it starts over between texts."""
 
-    def __init__(self, table: np.ndarray, limit: int = 250_000):
+    def __init__(self, table: np.ndarray, limit: int = 120_000):
         self.table, self.limit = table, limit
         self.reset()
 
@@ -259,9 +261,6 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     return model
 
 
-_KEPT: dict[int, Lexicon] = {}  # of the last model that this Python worker has used
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (double, 0..1) added; one pass over whole texts, no shuffle.
 
@@ -269,16 +268,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     their own rows; an empty table stays empty; other columns pass through unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x size floats
+    number = shared._jbroadcast.id()
     names = [c for c in docs.columns if c != "toxicity"]
     schema = docs.select(*names).withColumn("toxicity", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        lexicon = _KEPT.get(id(m))
-        if lexicon is None:
-            _KEPT.clear()
-            lexicon = _KEPT[id(m)] = Lexicon(m.table)
-        for batch in batches:
+        lexicon = keep(("toxicity", number), lambda: Lexicon(m.table))
+        for batch in (x for b in batches for x in slices(b)):
             texts = batch.column(names.index(text_col)).to_pylist()
             found = [np.zeros(0)]
             at = 0

@@ -38,7 +38,7 @@ class WordEncoder:
 
     LONG = 48  # longer chunks are encoded but not remembered
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 220_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
