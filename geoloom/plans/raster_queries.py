@@ -92,11 +92,11 @@ def _focal(kind: str, sql: str, size: int = 3) -> None:
 
     @query(
         f"with {R_SQL}, m as (select max(y) h, max(x) w from r), k as (select a.y, a.x, a.v own, b.v, b.y - a.y dy, b.x - a.x dx from r a join r b on b.y between a.y - {half} and a.y + {half} and b.x between a.x - {half} and a.x + {half}) "
-        f"select y, x, round(case when y >= {half} and x >= {half} and y <= h - {half} and x <= w - {half} then f else own end, 6) v from (select y, x, any_value(own) own, {sql} f from k group by y, x), m",
+        f"select y, x, round(case when y >= {half} and x >= {half} and y <= h - {half} and x <= w - {half} then f else own end, 6) + 0.0 v from (select y, x, any_value(own) own, {sql} f from k group by y, x), m",
         f"focal_{kind}",
     )
     def run(spark, sf_dir):
-        return R.apply_filter(raster(spark, sf_dir), kind, size).select("y", "x", F.round("v", 6).alias("v"))
+        return R.apply_filter(raster(spark, sf_dir), kind, size).select("y", "x", (F.round("v", 6) + F.lit(0.0)).alias("v"))  # no negative zero
 
 
 _focal("mean", "avg(v)")
