@@ -263,7 +263,8 @@ def union_agg(g: pd.Series) -> bytes:
     parts = [_read(x) for x in g if x is not None]
     if not parts:
         return None
-    return _write(planar.union_all([p if planar.is_valid(p) else planar.make_valid(p) for p in parts]))
+    parts = [p if planar.is_box(p) or planar.is_valid(p) else planar.make_valid(p) for p in parts]
+    return _write(parts[0] if len(parts) == 1 else planar.union_all(parts))
 
 
 def with_envelope(layer: DataFrame, geom: str = "geom") -> DataFrame:
