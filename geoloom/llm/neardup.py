@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .jaccard import forest
 from .storage import materialize
 
 BLOCK = 1024
@@ -34,48 +33,50 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, cosine: float, probes: int) -> list[np.ndarray]:
-    """Cells of each unit row: its nearest first, then, nearest first, those that a vector within the angle of
-    ``cosine`` may call its nearest; ``probes`` of them at most."""
+def cells_of(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest cell of each unit row, and for each row and cell whether a vector within the angle of ``cosine``
+    may call that cell its nearest (a bound that loses none; the slack covers rounding)."""
     s = x @ c.T
     home = s.argmax(1)
-    top = s[np.arange(len(x)), home]
+    if cosine <= 0:
+        return home, np.ones(s.shape, bool)
     apart = 2 - 2 * (c @ c.T)[home]  # squared distance of each centroid from the home centroid
-    gap = top[:, None] - s
-    reach = np.sqrt(np.maximum(apart - gap * gap, 0)) * np.sqrt(1 - cosine**2) / cosine
-    ok = gap <= reach + 1e-9
-    out = []
-    n = min(probes + 1, s.shape[1])
-    near = np.argpartition(-s, n - 1, axis=1)[:, :n]
-    for i in range(len(x)):
-        own = near[i][np.argsort(-s[i, near[i]], kind="stable")]
-        out.append(np.concatenate([[home[i]], own[ok[i, own] & (own != home[i])]]))
-    return out
-
-
-def _assign(shared, cosine: float, probes: int):
+    gap = s[np.arange(len(x)), home][:, None] - s
+    reach = np.sqrt(np.maximum(apart - gap * gap, 0)) * np.sqrt(max(1 - cosine**2, 0)) / cosine
+    return home, gap <= reach + 1e-6
+
+
+def _assign(shared, cosine: float):
     def run(batches):
         models = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = [np.asarray(v, np.float64) for v in batch.column("_v").to_pylist()]
-            cells = []
+            areas = []
             for at in range(0, len(vectors), 1000):
                 part = vectors[at : at + 1000]
                 found: list = [None] * len(part)
                 for dim in {len(v) for v in part}:
                     pick = [i for i, v in enumerate(part) if len(v) == dim]
+                    if dim not in models:
+                        for i in pick:
+                            found[i] = np.array([dim << 32])
+                        continue
+                    c, area = models[dim]
                     x = np.stack([part[i] for i in pick])
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    c = models.get(dim)
-                    got = cells_of(x, c, cosine, probes) if c is not None else [np.zeros(1, np.int64)] * len(pick)
-                    for i, g in zip(pick, got, strict=True):
-                        found[i] = g + (dim << 32)
-                cells += found
+                    home, ok = cells_of(x, c, cosine)
+                    meets = np.zeros((len(pick), area.max() + 1), bool)
+                    for a in range(meets.shape[1]):
+                        meets[:, a] = ok[:, area == a].any(1)
+                    for i, own, row in zip(pick, area[home], meets, strict=True):
+                        # a pair of two areas is compared in the later one
+                        found[i] = np.concatenate([[own], own + 1 + np.flatnonzero(row[own + 1 :])]) + (dim << 32)
+                areas += found
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_node"), batch.column("_copies"), batch.column("_v"), pa.array([x.tolist() for x in cells], pa.list_(pa.int64()))],
-                ["_node", "_copies", "_v", "_cells"],
+                [batch.column("_node"), batch.column("_copies"), batch.column("_v"), pa.array([x.tolist() for x in areas], pa.list_(pa.int64()))],
+                ["_node", "_copies", "_v", "_areas"],
             )
 
     return run
@@ -83,7 +84,6 @@ def _assign(shared, cosine: float, probes: int):
 
 def _compare(cosine: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cell = frame["_cell"].iloc[0]
         home, lists = frame[frame["_home"]], frame[~frame["_home"]]
         if not len(home) or not len(lists):
             return pd.DataFrame(columns=["u", "v", "n"]).astype("int64")
@@ -92,36 +92,26 @@ def _compare(cosine: float):
             x = np.stack(part["_v"].to_numpy()).astype(np.float64)
             unit.append(x / np.linalg.norm(x, axis=1, keepdims=True))
         h, m = home["_node"].to_numpy(), lists["_node"].to_numpy()
-        near = (unit[0] @ unit[1].T >= cosine) & (h[:, None] != m[None, :])
-        i, j = np.nonzero(near)
-        counts_h = near @ lists["_copies"].to_numpy()
-        # The other end counts this pair in its own home cell if that sees this end; else here.
-        first = np.array([c[0] for c in lists["_cells"]])
-        counts_m = np.zeros(len(m), np.int64)
-        if len(i):
-            width = max(len(c) for c in home["_cells"])
-            grid = np.full((len(h), width), -1, np.int64)
-            for r, c in enumerate(home["_cells"]):
-                grid[r, : len(c)] = c
-            sees = np.zeros(len(i), bool)
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000], j[at : at + 100_000]
-                sees[at : at + 100_000] = (grid[a] == first[b][:, None]).any(1)
-            # in one cell the pair comes up from both sides
-            credit = ~sees & (first[j] != cell)
-            np.add.at(counts_m, j[credit], home["_copies"].to_numpy()[i[credit]])
-        nodes = np.concatenate([h, m])
-        ids, back = np.unique(nodes, return_inverse=True)
-        touched = np.zeros(len(ids), bool)
-        touched[back[: len(h)][i]] = touched[back[len(h) :][j]] = True
-        live = np.flatnonzero(touched)
-        slot = np.full(len(ids), -1)
-        slot[live] = np.arange(len(live))
-        linked = np.zeros((len(live), len(live)), bool)
-        a, b = slot[back[: len(h)][i]], slot[back[len(h) :][j]]
-        linked[a, b] = linked[b, a] = True
-        edges = [(ids[live[x]], ids[live[y]], 0) for x, y in forest(linked)]
-        tally = [(n, n, c) for n, c in zip(nodes, np.concatenate([counts_h, counts_m]), strict=True) if c]
+        many_h, many_m = home["_copies"].to_numpy(), lists["_copies"].to_numpy()
+        counts_h, counts_m = np.zeros(len(h), np.int64), np.zeros(len(m), np.int64)
+        ids, back = np.unique(np.concatenate([h, m]), return_inverse=True)
+        at_h, at_m = back[: len(h)], back[len(h) :]
+        label, edges = np.arange(len(ids)), []
+        for at in range(0, len(h), 256):
+            near = (unit[0][at : at + 256] @ unit[1].T >= cosine) & (h[at : at + 256, None] != m)
+            for r in np.flatnonzero(near.any(1)):
+                j = np.flatnonzero(near[r])
+                counts_h[at + r] = many_m[j].sum()
+                counts_m[j] += many_h[at + r]
+                own, others = at_h[at + r], at_m[j]
+                others = others[label[others] != label[own]]
+                if len(others):  # one edge to each tree that the row joins
+                    joined, first = np.unique(label[others], return_index=True)
+                    edges += [(ids[own], ids[o], 0) for o in others[first]]
+                    label[np.isin(label, joined)] = label[own]
+        # a pair within the area comes up from both sides
+        counts_m[lists["_p"].to_numpy() == 0] = 0
+        tally = [(n, n, c) for n, c in zip(np.concatenate([h, m]), np.concatenate([counts_h, counts_m]), strict=True) if c]
         return pd.DataFrame(edges + tally, columns=["u", "v", "n"]).astype("int64")
 
     return run
@@ -129,16 +119,18 @@ def _compare(cosine: float):
 
 def near_duplicates(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, cell_rows: int = 1024,
-    probes: int = 12, sample_rows: int = 20_000, most_cells: int = 2048,
+    probes: int | None = None, sample_rows: int = 20_000, most_cells: int = 2048,
 ) -> DataFrame:
     """``vectors`` -> ``(id, n_links, component_id, kept)`` over pairs whose cosine is at least ``cosine``.
 
     Centroids are fitted on at most ``sample_rows`` vectors (64 MB of them), the ones with the smallest hash; one
-    cell for ``cell_rows`` rows, ``most_cells`` at most.  Every vector has a home cell and is also listed in up to
-    ``probes`` further cells that a vector within the angle may call home; home rows meet listed rows in blocks,
-    by double-precision products.  Equal vectors are one node with a count, so copies never pair; larger cells
+    cell for ``cell_rows`` rows, ``most_cells`` at most.  Neighbouring cells form areas of up to eight cells' rows.
+    Every vector has a home area and is also listed in each later area with a cell that a vector within the angle
+    may call home; home rows meet listed rows in blocks, by double-precision products.  That bound has no cap, so
+    every pair is found and counted exactly; where the vectors have no clusters it excludes little, and the blocks
+    grow with the square of the rows.  Equal vectors are one node with a count, so copies never pair; larger areas
     only mean more block pairs, so nothing is capped.  Each block pair returns link counts and a spanning forest.
-    A pair is missed only if it needs more probes than ``probes``; pairs that are found are exact.
+    ``probes`` once capped the further cells and no longer has any effect.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths don't link; null ids keep their rows with null results; repeated ids are one vertex; an
     empty table gives an empty result; other columns are ignored.
@@ -153,36 +145,41 @@ def near_duplicates(
         rows.where("_fair and _id is not null").groupBy("_a", "_b", "_v").agg(F.min("_id").alias("_node"), F.count("*").alias("_copies")), "vectors"
     )
     models = {}
-    for r in nodes.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect():
+    lengths = nodes.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()
+    # eight blocks or more, of at most 8192 rows and about 2M components
+    step = min(8 * BLOCK, max(BLOCK, lengths[0]["n"] // 8), max(256, 2_000_000 // max(r["d"] for r in lengths))) if lengths else BLOCK
+    for r in lengths:
         k = min(most_cells, -(-r["n"] // cell_rows))
         if k > 1:
             take = max(k, min(sample_rows, 64_000_000 // (8 * r["d"])))
             got = nodes.where(F.size("_v") == r["d"]).orderBy(F.xxhash64("_a"), "_node").limit(take).select("_v").toArrow()
             x = np.asarray(got.column("_v").combine_chunks().flatten()).reshape(-1, r["d"])
-            models[r["d"]] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
+            c = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
+            areas = min(len(c), -(-r["n"] // max(cell_rows, min(8 * cell_rows, r["n"] // 8))))
+            models[r["d"]] = c, np.unique((c @ spherical_kmeans(c, areas).T).argmax(1), return_inverse=True)[1]
     listed = materialize(
         nodes.select("_node", "_copies", "_v").mapInArrow(
-            _assign(spark.sparkContext.broadcast(models), cosine, probes), "_node long, _copies long, _v array<double>, _cells array<long>"
+            _assign(spark.sparkContext.broadcast(models), cosine), "_node long, _copies long, _v array<double>, _areas array<long>"
         ), "cells",
     )
-    at = listed.select("*", F.posexplode("_cells").alias("_p", "_cell"))
-    sizes = at.groupBy("_cell").agg(
-        F.ceil(F.count_if(F.col("_p") == 0) / BLOCK).alias("_hb"), F.ceil(F.count("*") / (2 * BLOCK)).alias("_lb")
+    at = listed.select("_node", "_copies", "_v", F.posexplode("_areas").alias("_p", "_area"))
+    sizes = at.groupBy("_area").agg(
+        F.ceil(F.count_if(F.col("_p") == 0) / step).alias("_hb"), F.ceil(F.count("*") / (2 * step)).alias("_lb")
     ).where("_hb > 0")
-    sizes = materialize(sizes, "cell-sizes")  # so that the join deals both sides itself and can split a hot cell
-    dealt = at.join(sizes, "_cell").withColumn("_h", F.xxhash64("_node", F.lit(9)))
+    sizes = materialize(sizes, "cell-sizes")  # so that the join deals both sides itself and can split a hot area
+    dealt = at.join(sizes, "_area").withColumn("_h", F.xxhash64("_node", F.lit(9)))
     sides = [
         dealt.where("_p = 0").select(
-            "_cell", "_node", "_copies", "_v", "_cells", F.lit(True).alias("_home"), F.pmod("_h", "_hb").alias("_x"),
+            "_area", "_node", "_copies", "_v", "_p", F.lit(True).alias("_home"), F.pmod("_h", "_hb").alias("_x"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lb") - 1)).alias("_y"),
         ),
         dealt.select(
-            "_cell", "_node", "_copies", "_v", "_cells", F.lit(False).alias("_home"),
+            "_area", "_node", "_copies", "_v", "_p", F.lit(False).alias("_home"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hb") - 1)).alias("_x"), F.pmod("_h", "_lb").alias("_y"),
         ),
     ]
     found = materialize(
-        sides[0].union(sides[1]).groupBy("_cell", "_x", "_y").applyInPandas(_compare(cosine), "u long, v long, n long"), "links"
+        sides[0].union(sides[1]).groupBy("_area", "_x", "_y").applyInPandas(_compare(cosine), "u long, v long, n long"), "links"
     )
     counts = found.where("n > 0").groupBy(F.col("u").alias("_node")).agg(F.sum("n").alias("_n"))
     roots = connected_components(found.where("u <> v").select("u", "v"), "groups").select(F.col("id").alias("_node"), "root")
