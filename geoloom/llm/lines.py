@@ -99,7 +99,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     of these has at most ``least_words`` lines, so it is named by two ranks that overlap: the interval of
     suffixes with that common prefix.  The earliest member stays and the lines of later ones go.
     """
-    lines = materialize(line_rows(docs, id_col, text_col), "lines")  # texts are split once
+    # texts are split once; rows of equal id and text are one document, so each of its lines counts once
+    lines = materialize(line_rows(docs, id_col, text_col).dropDuplicates(["_doc", "_j"]), "lines")
     at, _ = suffix_ranks(lines, least_words)
     order = Window.partitionBy("_doc").orderBy("_j")
     isle = at.select("_id", "_doc", "_j", "_words", "_ranks", (F.col("_j") - F.row_number().over(order)).alias("_isle"))

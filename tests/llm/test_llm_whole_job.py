@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from geoloom.llm import neardup
+from geoloom.llm import lines, neardup
 
 
 def test_near_vectors_hot_group(spark):
@@ -18,3 +18,14 @@ def test_near_vectors_hot_group(spark):
     assert want[::3].min() > 1500
     assert got.n_links.tolist() == want.tolist()
     assert got.component_id[::3].eq(0).all()
+
+
+def test_line_runs_repeated_rows(spark):
+    """Rows of equal id and text are one document, whose runs of several lines still count as places."""
+    run = [" ".join(f"w{n}x{k}" for k in range(12)) for n in range(5)]
+    texts = [(1, "\n".join(["head", *run])), (1, "\n".join(["head", *run])), (2, "\n".join([*run, "tail"])), (None, "\n".join(["x", *run, "y"])), (None, "\n".join(["x", *run, "y"]))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"], r["removed_lines"]) for r in lines.dedup_lines(d, least_words=50).collect())
+    assert got == [
+        (0, texts[3][1], []), (0, texts[3][1], []), (1, "head", [1, 2, 3, 4, 5]), (1, "head", [1, 2, 3, 4, 5]), (2, "tail", [0, 1, 2, 3, 4]),
+    ]
