@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import tiles
 from ..operators import dissolve, layers, overlay
 from ..sources import types
-from .base import COMMON, COVER_SQL, MEET, P_SQL, PT_SQL, Z_SQL, ZD_SQL, apart_zones, parcels, points, query, table, zones
+from .base import COMMON, COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, Z_SQL, ZD_SQL, apart_zones, parcels, points, query, table, zones
 
 CELL = 64.0
 
@@ -233,8 +233,17 @@ def point_distance(spark, sf_dir):
 @query(f"""with {P_SQL}, {Z_SQL} select p.id a_id, z.id b_id, {MEET} overlapping, (p.x0 >= z.x0 and p.x1 <= z.x1 and p.y0 >= z.y0 and p.y1 <= z.y1) inside,
  not ({MEET}) touching from p join z on p.x0 <= z.x1 and z.x0 <= p.x1 and p.y0 <= z.y1 and z.y0 <= p.y1 where z.id < 40""")
 def predicates(spark, sf_dir):
-    z = zones(spark, sf_dir).where("id < 40")
-    pairs = overlay.envelope_pairs(boxed(parcels(spark, sf_dir)), boxed(z), CELL, touching=True)
+    return _predicates(parcels(spark, sf_dir), zones(spark, sf_dir).where("id < 40"))
+
+
+@query(ORACLE_SQL["predicates"].removesuffix(" where z.id < 40"), "predicates_all")
+def predicates_all(spark, sf_dir):
+    """The same over all zones."""
+    return _predicates(parcels(spark, sf_dir), zones(spark, sf_dir))
+
+
+def _predicates(p: DataFrame, z: DataFrame) -> DataFrame:
+    pairs = overlay.envelope_pairs(boxed(p), boxed(z), CELL, touching=True)
     a, b = F.col("a_geom"), F.col("b_geom")
     shared = G.area(G.intersection(a, b)) > 0
     return pairs.select("a_id", "b_id", shared.alias("overlapping"), G.within(a, b).alias("inside"), G.touches(a, b).alias("touching"))
