@@ -60,6 +60,19 @@ def apart_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of all suppliers that don't meet, on a grid over the parcels whose pitch follows the largest key."""
+    s, side = table(spark, sf_dir, "supplier"), 1
+    most = s.agg(F.max("s_suppkey")).first()[0] or 0
+    while side * side <= most:
+        side *= 2
+    pitch, cx, cy = 1024.0 / side, F.col("s_suppkey") % side, F.floor(F.col("s_suppkey") / side)
+    return s.select(
+        F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nat"), ((d(cx) + 0.125) * pitch).alias("xmin"), ((d(cy) + 0.125) * pitch).alias("ymin"),
+        ((d(cx) + 0.875) * pitch).alias("xmax"), ((d(cy) + 0.875) * pitch).alias("ymax"),
+    )
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", (d("(event_id * 7919) % 360000") / 1000.0 - 180.0).alias("lon"), (d("(event_id * 104729) % 170000") / 1000.0 - 85.0).alias("lat")
@@ -99,6 +112,9 @@ Z_SQL = """z as (select s_suppkey id, s_nationkey nat, cast((s_suppkey*113)%1000
  cast((s_suppkey*113)%1000+40+(s_suppkey*13)%80 as double) x1, cast((s_suppkey*71)%1000+40+(s_suppkey*29)%80 as double) y1 from supplier)"""
 ZD_SQL = """z as (select s_suppkey id, s_nationkey nat, cast(100*(s_suppkey%10)+10 as double) x0, cast(100*(s_suppkey//10)+10 as double) y0,
  cast(100*(s_suppkey%10)+90 as double) x1, cast(100*(s_suppkey//10)+90 as double) y1 from supplier where s_suppkey < 100)"""
+ZA_SQL = """grid as (select cast(power(2, ceil(log2(max(s_suppkey) + 1) / 2)) as bigint) side from supplier),
+ z as (select s_suppkey id, s_nationkey nat, (s_suppkey%side + cast(0.125 as double))*(cast(1024 as double)/side) x0, (s_suppkey//side + cast(0.125 as double))*(cast(1024 as double)/side) y0,
+ (s_suppkey%side + cast(0.875 as double))*(cast(1024 as double)/side) x1, (s_suppkey//side + cast(0.875 as double))*(cast(1024 as double)/side) y1 from supplier, grid)"""
 PT_SQL = """pt as (select event_id, ts, cast((event_id*7919)%360000 as double)/1000-180 lon, cast((event_id*104729)%170000 as double)/1000-85 lat from events)"""
 B_SQL = """b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as double) b1, cast(l_extendedprice as double)/1000 b2,
  cast(l_discount as double) b3, cast(l_tax as double) b4 from lineitem)"""

@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import tiles
 from ..operators import dissolve, layers, overlay
 from ..sources import types
-from .base import COMMON, COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, Z_SQL, ZD_SQL, apart_zones, parcels, points, query, table, zones
+from .base import COMMON, COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, QUERIES, Z_SQL, ZA_SQL, ZD_SQL, apart_zones, parcels, points, query, spread_zones, table, zones
 
 CELL = 64.0
 
@@ -67,8 +67,8 @@ def overlay_erase_kernel(spark, sf_dir):
 
 
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select id, sum(area) area, cast(count(*) as bigint) parts from (select id, {AREA} area from pieces union all select id, area from rest where area > 0) group by id")
-def overlay_identity_area(spark, sf_dir):
-    p, z = parcels(spark, sf_dir), apart_zones(spark, sf_dir)
+def overlay_identity_area(spark, sf_dir, layer=apart_zones):
+    p, z = parcels(spark, sf_dir), layer(spark, sf_dir)
     both = overlay.intersect_boxes(p, z, CELL).select(F.col("a_id").alias("id"), overlay.box_area().alias("area"))
     c = overlay.covered_boxes(p, z, "id", CELL)
     rest = p.join(c, "id", "left").select("id", (overlay.box_area() - F.coalesce("covered", F.lit(0.0))).alias("area")).where("area > 0")
@@ -76,8 +76,8 @@ def overlay_identity_area(spark, sf_dir):
 
 
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select id, round(sum(area), 5) area, cast(count(*) as bigint) parts from (select id, {AREA} area from pieces union all select id, area from rest where area > 0) group by id")
-def overlay_identity_kernel(spark, sf_dir):
-    a, b = boxed(parcels(spark, sf_dir)), boxed(apart_zones(spark, sf_dir)).withColumnRenamed("id", "zone")
+def overlay_identity_kernel(spark, sf_dir, layer=apart_zones):
+    a, b = boxed(parcels(spark, sf_dir)), boxed(layer(spark, sf_dir)).withColumnRenamed("id", "zone")
     out = overlay.identity(a, b, "id", "prefix")
     return out.groupBy("id").agg(F.round(F.sum(G.area(F.col("geom"))), 5).alias("area"), F.count("*").alias("parts"))
 
@@ -98,22 +98,34 @@ def overlay_symdiff_area(spark, sf_dir):
 
 
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select 'a' side, id, area from rest where area > 0 union all select 'b', id, {AREA} from z")
-def overlay_update_area(spark, sf_dir):
-    a, b = boxed(parcels(spark, sf_dir)).select(F.lit("a").alias("side"), "id", "geom"), boxed(apart_zones(spark, sf_dir)).select(F.lit("b").alias("side"), "id", "geom")
+def overlay_update_area(spark, sf_dir, layer=apart_zones):
+    a, b = boxed(parcels(spark, sf_dir)).select(F.lit("a").alias("side"), "id", "geom"), boxed(layer(spark, sf_dir)).select(F.lit("b").alias("side"), "id", "geom")
     return overlay.update(a, b, "id").select("side", "id", G.area(F.col("geom")).alias("area"))
 
 
 @query(f"""with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT}, {BACK}, {COVER_BACK}
  select 'both' part, round(sum({AREA}), 4) area, cast(count(*) as bigint) features from pieces union all select 'a', round(sum(area), 4), count(*) from rest where area > 0
  union all select 'b', round(sum(area), 4), count(*) from (select {AREA} - coalesce(c.covered, 0) area from z left join covered2 c on c.id = z.id) where area > 0""")
-def overlay_union_area(spark, sf_dir):
+def overlay_union_area(spark, sf_dir, layer=apart_zones):
     a = boxed(parcels(spark, sf_dir)).select(F.col("id").alias("a_id"), "geom")
-    b = boxed(apart_zones(spark, sf_dir)).select(F.col("id").alias("b_id"), "geom")
+    b = boxed(layer(spark, sf_dir)).select(F.col("id").alias("b_id"), "geom")
     out = overlay.union(a, b, "a_id", "b_id")
     part = F.when(F.col("b_id").isNull(), "a").when(F.col("a_id").isNull(), "b").otherwise("both")
     return out.groupBy(part.alias("part")).agg(F.round(F.sum(G.area(F.col("geom"))), 4).alias("area"), F.count("*").alias("features"))
 
 
+def _over_all_zones(name: str) -> None:
+    """The query again, with every supplier in the second layer."""
+
+    @query(ORACLE_SQL[name].replace(ZD_SQL, ZA_SQL), f"{name}_all")
+    def run(spark, sf_dir):
+        return QUERIES[name](spark, sf_dir, spread_zones)
+
+
+for _name in ("overlay_identity_area", "overlay_identity_kernel", "overlay_update_area", "overlay_union_area"):
+    _over_all_zones(_name)
+
+
 def _strategy(name: str, sql: str) -> None:
     @query(f"with {P_SQL}, {Z_SQL} select {sql} from p join z on {MEET}", f"field_strategy_{name}")
     def run(spark, sf_dir):
