@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,7 +200,8 @@ convex_hull = _one(_lift(planar.convex_hull), T.BinaryType())
 boundary = _one(_lift(planar.boundary), T.BinaryType())
 make_valid = _one(_lift(planar.make_valid), T.BinaryType())
 close_rings = _one(_lift(planar.close_rings), T.BinaryType())
-to_multi_polygon = _one(lambda g: _write(planar.polygonal(g)), T.BinaryType())
+#: Not deterministic by declaration: a filter on the result doesn't make Spark compute it twice.
+to_multi_polygon = _one(lambda g: _write(planar.polygonal(g)), T.BinaryType()).asNondeterministic()
 exterior = _one(_lift(lambda g: model.build([(model.POLYGON, [p[1][0]]) for p in model.simple_parts(g) if p[0] == model.POLYGON])), T.BinaryType())
 longest_line = _one(_lift(planar.longest_part), T.BinaryType())
 auto_distance = _one(lambda g: None if g is None else float(planar.auto_distance(g)), T.DoubleType())
@@ -229,6 +231,170 @@ def _set_operation(how: str) -> Callable[[Column, Column], Column]:
     return _two(lambda a, b: None if a is None or b is None else _write(planar.overlay(a, b, how)), T.BinaryType())
 
 
+#: A little-endian polygon of one ring of five points, as WKB.
+_BOX = np.dtype([("order", "u1"), ("kind", "<u4"), ("rings", "<u4"), ("points", "<u4"), ("xy", "<f8", (5, 2))])
+_BOX_HEAD = np.array((1, 3, 1, 5, np.zeros((5, 2))), _BOX)
+
+
+def _boxes(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are axis-parallel rectangles, and the bounds of all (NaN where they aren't)."""
+    fits = np.fromiter((x is not None and len(x) == _BOX.itemsize for x in col), bool, len(col))
+    bounds = np.full((len(col), 4), np.nan)
+    raw = np.frombuffer(b"".join(bytes(x) for x in col[fits]), _BOX)
+    xy, step = raw["xy"], np.diff(raw["xy"], axis=1)
+    ok = (raw["order"] == 1) & (raw["kind"] == 3) & (raw["rings"] == 1) & (raw["points"] == 5)
+    ok &= ((step != 0).sum(2) == 1).all(1) & (xy[:, 0] == xy[:, 4]).all(1) & (step[:, 0] + step[:, 2] == 0).all(1)
+    at = np.flatnonzero(fits)[ok]
+    bounds[at, :2], bounds[at, 2:] = xy[ok].min(1), xy[ok].max(1)
+    return ~np.isnan(bounds[:, 0]), bounds
+
+
+def _multi(g) -> bytes | None:
+    return _write(planar.polygonal(g))
+
+
+def _common_boxes(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, list]:
+    """Pairs of rectangles, and their common ones as MultiPolygons (None where they don't overlap); whole columns."""
+    (is_a, p), (is_b, q) = _boxes(a), _boxes(b)
+    both = np.flatnonzero(is_a & is_b)
+    out: list = [None] * len(a)
+    low, high = np.maximum(p[both, :2], q[both, :2]), np.minimum(p[both, 2:], q[both, 2:])
+    some = (low < high).all(1)
+    made = np.repeat(_BOX_HEAD, int(some.sum()))
+    made["xy"] = np.stack([low[some], np.stack([high[some, 0], low[some, 1]], 1), high[some], np.stack([low[some, 0], high[some, 1]], 1), low[some]], 1)
+    raw, n, head = made.tobytes(), _BOX.itemsize, b"\x01\x06\x00\x00\x00\x01\x00\x00\x00"
+    for k, i in enumerate(both[some].tolist()):
+        out[i] = head + raw[k * n : (k + 1) * n]
+    return is_a & is_b, out
+
+
+def _areal(how: str):
+    """Overlay of two columns as MultiPolygons, null where nothing polygonal is left.
+
+    Not deterministic by declaration, so that a filter on the result doesn't make Spark compute it twice.
+    """
+
+    @F.pandas_udf(T.BinaryType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        done, out = _common_boxes(a, b) if how == "intersection" else (np.zeros(len(a), bool), [None] * len(a))
+        known: dict = {}
+
+        def read(x):
+            if x not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[x] = _read(x)
+            return known[x]
+
+        for i in np.flatnonzero(~done).tolist():
+            x, y = a.iloc[i], b.iloc[i]
+            if x is not None and y is not None:
+                out[i] = _multi(planar.overlay(read(x), read(y), how))
+        return pd.Series(out, dtype=object)
+
+    return run.asNondeterministic()
+
+
+common_area = _areal("intersection")
+
+
+@F.pandas_udf(T.BinaryType())
+def union_list(members: pd.Series) -> pd.Series:
+    """Union of each array of geometries; members that aren't valid are repaired first."""
+    return pd.Series([_union_of(m) for m in members], dtype=object)
+
+
+def _union_of(members) -> bytes | None:
+    members = [x for x in members if x is not None] if members is not None else []
+    if len(members) < 2:
+        parts = [_read(x) for x in members]
+        return _write(parts[0] if planar.is_box(parts[0]) or planar.is_valid(parts[0]) else planar.make_valid(parts[0])) if parts else None
+    parts = [_read(x) for x in dict.fromkeys(members)]
+    parts = [p if planar.is_box(p) or planar.is_valid(p) else planar.make_valid(p) for p in parts]
+    return _write(parts[0] if len(parts) == 1 else planar.union_all(parts))
+
+
+def _against(how: str):
+    """Overlay of a geometry with the union of an array of others, as :func:`_areal`.
+
+    Rectangles among the others are cut to the geometry's bounds first; one that covers these settles the matter.
+    """
+
+    @F.pandas_udf(T.BinaryType())
+    def run(a: pd.Series, others: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def read(x):
+            if x not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                g = _read(x)
+                b = planar.is_box(g)
+                known[x] = b, g if b or planar.is_valid(g) else planar.make_valid(g)
+            return known[x]
+
+        def one(g, members):
+            low_x, low_y, high_x, high_y = bounds = model.envelope(g)
+            boxes, shapes = set(), []
+            for m in dict.fromkeys(members):
+                b, shape = read(m)
+                if b:
+                    cut = max(b[0], low_x), max(b[1], low_y), min(b[2], high_x), min(b[3], high_y)
+                    if cut == bounds:
+                        return g if how == "intersection" else None
+                    if cut[0] < cut[2] and cut[1] < cut[3]:
+                        boxes.add(cut)
+                else:
+                    shapes.append(shape)
+            inner = lambda p, q: p[0] >= q[0] and p[1] >= q[1] and p[2] <= q[2] and p[3] <= q[3]
+            if len(boxes) <= 64:
+                boxes = [p for p in boxes if not any(p != q and inner(p, q) for q in boxes)]
+            shapes += [model.box(*p) for p in sorted(boxes)]
+            if not shapes:
+                return None if how == "intersection" else g
+            return planar.overlay(g, shapes[0] if len(shapes) == 1 else planar.union_all(shapes), how)
+
+        out = []
+        for x, members in zip(a, others, strict=True):
+            g = _read(x) if x is not None else None
+            if g is None or model.is_empty(g):
+                out.append(None)
+                continue
+            members = [m for m in members if m is not None] if members is not None else []
+            out.append(_multi(one(g, members) if members else None if how == "intersection" else g))
+        return pd.Series(out, dtype=object)
+
+    return run.asNondeterministic()
+
+
+common_with_all = _against("intersection")
+rest_of_all = _against("difference")
+
+
+def prepared(valid: bool, grid: float):
+    """UDF of a geometry: itself, repaired and snapped if asked for, and its bounds, in one go."""
+    kind = T.StructType([T.StructField("geom", T.BinaryType()), *BOUNDS.fields])
+
+    @F.pandas_udf(kind)
+    def run(g: pd.Series) -> pd.DataFrame:
+        rows = []
+        plain, bounds = _boxes(g)
+        for x, fits, at in zip(g, plain, bounds.tolist(), strict=True):
+            if fits and grid <= 0:
+                rows.append((x, *at))
+                continue
+            shape = _read(x) if x is not None else None
+            if shape is not None and valid:
+                shape = planar.make_valid(shape)
+            if shape is not None and grid > 0:
+                shape = planar.snap_to_grid(shape, grid)
+            at = model.envelope(shape) if shape is not None else None
+            rows.append((_write(shape) if valid or grid > 0 else x, *at) if at else (None,) * 5)
+        return pd.DataFrame(rows, columns=kind.names).astype(dict.fromkeys(BOUNDS.names, "float64"))
+
+    return run.asNondeterministic()
+
+
 intersection = _set_operation("intersection")
 difference = _set_operation("difference")
 union = _set_operation("union")
@@ -259,12 +425,8 @@ def transform(g: Column, source: int, target: int) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def union_agg(g: pd.Series) -> bytes:
-    """Union of a group; members that aren't valid are repaired first."""
-    parts = [_read(x) for x in g if x is not None]
-    if not parts:
-        return None
-    parts = [p if planar.is_box(p) or planar.is_valid(p) else planar.make_valid(p) for p in parts]
-    return _write(parts[0] if len(parts) == 1 else planar.union_all(parts))
+    """Union of a group, for SQL; members that aren't valid are repaired first."""
+    return _union_of(list(g))
 
 
 def with_envelope(layer: DataFrame, geom: str = "geom") -> DataFrame:

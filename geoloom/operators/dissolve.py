@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..kernel import model, planar
-from .overlay import BOX, envelope_pairs, union_by
+from ..storage import materialize
+from .overlay import BOX, _prepared, envelope_pairs, members_by, prepared_pairs, union_by, with_geometry
 
 
 def dissolve(layer: DataFrame, fields: list[str], order_by: str, *, grid: float = 0.0) -> DataFrame:
@@ -43,16 +44,16 @@ def union_layer(layer: DataFrame) -> DataFrame:
 
 def self_overlap(layer: DataFrame, key: str, size: float | None = None) -> DataFrame:
     """Features less their common parts, and each common part once, with the fields of the smaller key."""
-    layer = G.with_envelope(layer).where("xmin is not null")
-    fields = [c for c in layer.columns if c not in (*BOX, "geom")]
-    pairs = envelope_pairs(layer, layer, size).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    common = pairs.withColumn("_g", G.to_multi_polygon(G.intersection(F.col("a_geom"), F.col("b_geom")))).where("_g is not null")
+    layer = _prepared(layer, False, 0.0)
+    fields = [c for c in layer.columns if c not in (*BOX, "geom", "_row")]
+    met = with_geometry(prepared_pairs(layer, layer, size, where=F.col("a__row") != F.col("b__row")), layer, layer)
+    met = met.where(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    common = materialize(met.withColumn("_g", G.common_area("a_geom", "b_geom")).where("_g is not null").drop("a_geom", "b_geom"), "common")
     once = common.withColumn("_t", G.as_wkt(F.col("_g"))).groupBy("_t").agg(
         F.min_by(F.struct(*[F.col(f"a_{c}").alias(c) for c in fields], F.col("_g").alias("geom")), F.struct(f"a_{key}", f"b_{key}")).alias("_r")
     ).select("_r.*")
-    cuts = common.select(F.explode(F.array(f"a_{key}", f"b_{key}")).alias(key), F.col("_g").alias("geom"))
-    merged = union_by(cuts, [key], out="_u")
-    rest = layer.join(merged, key, "left").withColumn("geom", G.to_multi_polygon(F.coalesce(G.difference(F.col("geom"), F.col("_u")), F.col("geom"))))
+    cuts = common.select(F.explode(F.array("a__row", "b__row")).alias("_row"), F.col("_g").alias("geom"))
+    rest = layer.join(members_by(cuts, ["_row"]), "_row", "left").withColumn("geom", G.rest_of_all("geom", "_members"))
     return rest.where("geom is not null").select(*fields, "geom").unionByName(once.select(*fields, "geom"))
 
 
@@ -62,14 +63,18 @@ def containment(layer: DataFrame, key: str, size: float | None = None, boxes: bo
     Containers of a polygon are found by one grid join; those of nested polygons form a chain, so the level is their
     number and the parent the one with the least area (then the greatest key).  ``boxes`` compares envelopes alone.
     """
-    g = layer if set(BOX) <= set(layer.columns) else G.with_envelope(layer)
-    area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) if boxes else G.area(F.col("geom"))
-    g = g.select(key, *BOX, *([] if boxes else ["geom"]), area.alias("area"))
+    if boxes:
+        g = layer.select(key, *BOX, ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
+    else:
+        g = _prepared(layer.select(key, "geom"), False, 0.0)
+        g = materialize(g.withColumn("area", G.area(F.col("geom"))), "areas")
     inside = (F.col("a_xmin") >= F.col("b_xmin")) & (F.col("a_xmax") <= F.col("b_xmax")) & (F.col("a_ymin") >= F.col("b_ymin")) & (F.col("a_ymax") <= F.col("b_ymax"))
     larger = (F.col("b_area") > F.col("a_area")) & (F.col(f"a_{key}") != F.col(f"b_{key}"))
-    pairs = envelope_pairs(g, g, size).where(inside & larger)
-    if not boxes:
-        pairs = pairs.where(G.contains(F.col("b_geom"), F.col("a_geom")))
+    if boxes:
+        pairs = envelope_pairs(g, g, size).where(inside & larger)
+    else:
+        pairs = with_geometry(prepared_pairs(g, g, size, where=inside), g, g).where(larger)
+        pairs = pairs.withColumn("_in", G.contains.asNondeterministic()(F.col("b_geom"), F.col("a_geom"))).where("_in")
     best = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(
         F.min_by(f"b_{key}", F.struct("b_area", -F.col(f"b_{key}"))).alias("parent"), F.count("*").cast("int").alias("level")
     )
@@ -91,11 +96,11 @@ def donuts(layer: DataFrame, key: str, *, simplify: float = 0.0, size: float | N
 
     Only outer rings count.  ``simplify`` is applied first.
     """
-    g = G.with_envelope(layer.withColumn("geom", G.exterior(F.col("geom"))))
+    g = layer.drop(*BOX).withColumn("geom", G.exterior(F.col("geom")))
     if simplify > 0:
-        g = G.with_envelope(g.withColumn("geom", G.simplify(F.col("geom"), simplify, True)))
-    tree = containment(g, key, size)
-    nodes = g.drop(*BOX).join(tree, key)
+        g = g.withColumn("geom", G.simplify(F.col("geom"), simplify, True))
+    g = materialize(g, "outer-rings")
+    nodes = g.join(containment(g, key, size), key)
     holes = nodes.where("parent is not null and level % 2 = 1").groupBy(F.col("parent").alias("_p")).agg(F.collect_list("geom").alias("_h"))
     out = nodes.join(holes, F.col(key) == F.col("_p"), "left")
     geom = F.when(F.col("level") % 2 == 0, _with_holes(F.col("geom"), F.coalesce("_h", F.array().cast("array<binary>")))).otherwise(F.col("geom"))

@@ -13,20 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..storage import materialize
 from .layers import merge_fields
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 MEMBERS = 512  # of a group that one union call takes
+PAIRS = 4096  # of features that one task overlays
+
+
+def _spans(*layers: DataFrame) -> list[tuple]:
+    """For each layer the sum and maximum of the wider sides of its envelopes, its bounds and its rows: one job."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    stats = [F.sum(side), F.max(side), F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), F.count("*")]
+    parts = [x.agg(*[c.alias(f"c{i}") for i, c in enumerate(stats)]).withColumn("_n", F.lit(n)) for n, x in enumerate(layers)]
+    both = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+    return [tuple(r)[:7] for r in sorted(both.collect(), key=lambda r: r["_n"])]
+
+
+def _size_of(spans: list[tuple]) -> float:
+    """About twice the mean side, and no less than cells of which there is one for each feature."""
+    some = [s for s in spans if s[6] and s[0] is not None]
+    if not some:
+        return 1.0
+    n = sum(s[6] for s in some)
+    w, h = max(s[4] for s in some) - min(s[2] for s in some), max(s[5] for s in some) - min(s[3] for s in some)
+    return max(2 * sum(s[0] for s in some) / n, math.sqrt(max(w * h, 1e-300) / n)) or 1.0
 
 
 def cell_size(a: DataFrame, b: DataFrame) -> float:
-    """A cell about twice as wide as the mean envelope of the layers, from one aggregate of four numbers."""
-    spans = a.select(*BOX).unionAll(b.select(*BOX)).agg(
-        F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))), F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin"), F.count("*")
-    ).first()
-    mean, w, h, n = (float(x or 0) for x in spans)
-    least = math.sqrt(max(w * h, 1e-300) / max(n, 1)) or 1.0
-    return max(2 * mean, least) or 1.0
+    """The cell that :func:`envelope_pairs` takes by itself, from one aggregate of both layers."""
+    return _size_of(_spans(a, b))
 
 
 def cells(layer: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -57,9 +73,9 @@ def envelope_pairs(a: DataFrame, b: DataFrame, size: float | None = None, *, tou
     Features far wider than a cell are listed in cells of twice, four times ... the width, so none is listed more
     than some dozen times; a pair meets at the coarser of its two levels.
     """
-    size = size or cell_size(a, b)
-    tops = [x.agg(F.max(_level("", size)).alias("t")) for x in (a, b)]
-    top_a, top_b = (r["t"] or 0 for r in tops[0].unionAll(tops[1]).collect())
+    spans = _spans(a, b)
+    size = size or _size_of(spans)
+    top_a, top_b = (max(0, math.ceil(math.log2(max(x[1] or 0.0, size) / (4.0 * size)))) for x in spans)
     if top_a == top_b == 0:
         j = cells(a, size, "a_").join(cells(b, size, "b_"), ["_cx", "_cy"])
         width, level = F.lit(size), F.lit(True)
@@ -104,81 +120,143 @@ def covered_boxes(a: DataFrame, b: DataFrame, a_id: str, size: float | None = No
 # --- general geometries --------------------------------------------------------------------------------------
 
 
+def members_by(rows: DataFrame, keys: list[str], geom: str = "geom") -> DataFrame:
+    """``keys, _members``: each group's geometries, ``MEMBERS`` at most, larger groups as unions of salted parts."""
+    rows = rows.select(*keys, F.col(geom).alias("_g")).where("_g is not null")
+    while True:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        most = counts.agg(F.max("_n")).first()[0] or 0
+        if most <= MEMBERS:
+            return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_g")).alias("_members"))
+        parts = counts.withColumn("_k", F.ceil(F.col("_n") / MEMBERS)).drop("_n")
+        named = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_k")
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        salted = (rows.join(named, same) if keys else rows.crossJoin(F.broadcast(named))).withColumn("_s", F.pmod(F.xxhash64("_g"), "_k"))
+        # equal geometries share a salt, so they are taken once each; what is left of a part is evenly dealt
+        lists = salted.select(*keys, "_s", "_g").distinct().groupBy(*keys, "_s").agg(F.sort_array(F.collect_list("_g")).alias("_m"))
+        rows = materialize(lists.select(*keys, G.union_list("_m").alias("_g")), "unions")
+
+
 def union_by(rows: DataFrame, keys: list[str], geom: str = "geom", out: str = "geom") -> DataFrame:
-    """Union of each group's geometries, in two steps so that a large group never meets in one call whole."""
-    salts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / MEMBERS).alias("_k"))
-    salted = rows.select(*keys, F.col(geom).alias("_g")).join(salts, keys) if keys else rows.select(F.col(geom).alias("_g")).crossJoin(salts)
-    first = salted.withColumn("_s", F.pmod(F.xxhash64("_g"), F.greatest("_k", F.lit(1)))).groupBy(*keys, "_s").agg(G.union_agg("_g").alias("_g"))
-    return first.groupBy(*keys).agg(G.union_agg("_g").alias(out))
+    """Union of each group's geometries, in salted steps so that a large group never meets in one call whole.
+
+    Groups without any geometry have a null one.  An empty table without keys gives no row.
+    """
+    found = members_by(rows, keys, geom).select(*keys, G.union_list("_members").alias(out))
+    if not keys:
+        return found.where(F.col(out).isNotNull())
+    every = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).where(F.col(geom).isNull()).distinct() if geom in rows.columns else None
+    if every is None:
+        return found
+    bare = every.join(found, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_anti").select(*[F.col(f"_k_{k}").alias(k) for k in keys])
+    return found.unionByName(bare.withColumn(out, F.lit(None).cast("binary")))
 
 
 def _prepared(layer: DataFrame, valid: bool, grid: float) -> DataFrame:
-    g = F.col("geom")
-    if valid:
-        g = G.make_valid(g)
-    if grid > 0:
-        g = G.snap(g, F.lit(float(grid)))
-    out = layer.withColumn("geom", g) if valid or grid > 0 else layer
-    return G.with_envelope(out).where("geom is not null and xmin is not null")
+    """The layer with bounds and a row number ``_row``, written once: its geometries are parsed in one pass only."""
+    other = [c for c in layer.columns if c not in (*BOX, "geom", "_row")]
+    made = layer.select(*other, G.prepared(valid, grid)(F.col("geom")).alias("_p")).select(*other, "_p.*").where("geom is not null and xmin is not null")
+    return materialize(made.withColumn("_row", F.monotonically_increasing_id()), "layer")
+
+
+def prepared_pairs(a: DataFrame, b: DataFrame, size: float | None = None, *, where: Column | None = None, touching: bool = False) -> DataFrame:
+    """``(a__row, b__row)`` of two prepared layers, dealt evenly: numbers and bounds alone meet in the cells."""
+    narrow = [x.select("_row", *BOX) for x in (a, b)]
+    pairs = envelope_pairs(*narrow, size, touching=touching)
+    pairs = materialize((pairs if where is None else pairs.where(where)).select("a__row", "b__row"), "pairs")
+    parts = max(2 * a.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS)
+    return pairs.repartition(parts, F.xxhash64("a__row", "b__row"))
+
+
+def with_geometry(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with all columns of both layers, prefixed."""
+    for prefix, x in (("a_", a), ("b_", b)):
+        pairs = pairs.join(x.select(*[F.col(c).alias(prefix + c) for c in x.columns if c not in BOX]), f"{prefix}_row")
+    return pairs
+
+
+def met_pairs(a: DataFrame, b: DataFrame, size: float | None = None, *, touching: bool = False) -> DataFrame:
+    """Pairs of features whose bounds overlap (or touch), with the columns and geometries of both, for tests of one's choice."""
+    a, b = _prepared(a, False, 0.0), _prepared(b, False, 0.0)
+    return with_geometry(prepared_pairs(a, b, size, touching=touching), a, b).drop("a__row", "b__row")
 
 
 def _fields(layer: DataFrame) -> list[str]:
-    return [c for c in layer.columns if c not in (*BOX, "geom")]
+    return [c for c in layer.columns if c not in (*BOX, "geom", "_row")]
 
 
 def _finish(rows: DataFrame) -> DataFrame:
     """Polygonal results as MultiPolygons; rows of which nothing polygonal is left go."""
-    return rows.withColumn("geom", G.to_multi_polygon(F.col("geom"))).where("geom is not null")
+    return rows.where("geom is not null")
 
 
-def intersect(a: DataFrame, b: DataFrame, strategy: str = "prefer1", *, grid: float = 0.0, size: float | None = None, prefix: str = "l2_") -> DataFrame:
-    """One row for each pair with a common area, fields by ``strategy``."""
-    a, b = _prepared(a, False, grid), _prepared(b, False, grid)
+def _both(a: DataFrame, b: DataFrame, valid: bool, grid: float, size: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both layers prepared, and the pairs whose bounds overlap."""
+    a, b = _prepared(a, valid, grid), _prepared(b, valid, grid)
+    return a, b, prepared_pairs(a, b, size)
+
+
+def _common(a: DataFrame, b: DataFrame, pairs: DataFrame, strategy: str, prefix: str) -> DataFrame:
     names = merge_fields(_fields(a), _fields(b), strategy, prefix)
-    pairs = envelope_pairs(a, b, size).withColumn("_g", G.intersection(F.col("a_geom"), F.col("b_geom")))
-    return _finish(pairs.select(*[F.col(f"{s}_{c}").alias(n) for s, c, n in names], F.col("_g").alias("geom")))
+    met = with_geometry(pairs, a, b)
+    return _finish(met.select(*[F.col(f"{s}_{c}").alias(n) for s, c, n in names], G.common_area("a_geom", "b_geom").alias("geom")))
+
 
+def _against(a: DataFrame, b: DataFrame, pairs: DataFrame, how: str, f, own: str = "a_", other: str = "b_") -> DataFrame:
+    """``f`` of each feature of ``a`` and the features of ``b`` that it meets; fields of ``a``.
 
-def _covers(a: DataFrame, b: DataFrame, a_id: str, size: float | None) -> DataFrame:
-    """``(a_id, _u)``: union of the features of ``b`` that each feature of ``a`` meets."""
-    pairs = envelope_pairs(a.select(a_id, *BOX), b.select("geom", *BOX), size)
-    return union_by(pairs.select(F.col(f"a_{a_id}").alias(a_id), F.col("b_geom").alias("geom")), [a_id], out="_u")
+    The layer is dealt by row number, so that calls spread over all cores however few files it came in.
+    """
+    met = pairs.join(b.select(F.col("_row").alias(f"{other}_row"), "geom"), f"{other}_row")
+    lists = members_by(met.select(F.col(f"{own}_row").alias("_row"), "geom"), ["_row"])
+    parts = max(2 * a.sparkSession.sparkContext.defaultParallelism, a.count() // PAIRS)
+    return _finish(a.repartition(parts, "_row").join(lists, "_row", how).select(*_fields(a), f("geom", "_members").alias("geom")))
+
+
+def intersect(a: DataFrame, b: DataFrame, strategy: str = "prefer1", *, grid: float = 0.0, size: float | None = None, prefix: str = "l2_") -> DataFrame:
+    """One row for each pair with a common area, fields by ``strategy``."""
+    return _common(*_both(a, b, False, grid, size), strategy, prefix)
 
 
 def clip(a: DataFrame, b: DataFrame, a_id: str, *, grid: float = 0.0, size: float | None = None, valid: bool = True) -> DataFrame:
     """What of each feature of ``a`` lies in the union of ``b``; fields of ``a``."""
-    a, b = _prepared(a, valid, grid), _prepared(b, valid, grid)
-    j = a.join(_covers(a, b, a_id, size), a_id)
-    return _finish(j.withColumn("geom", G.intersection(F.col("geom"), F.col("_u"))).select(*_fields(a), "geom"))
+    return _against(*_both(a, b, valid, grid, size), "inner", G.common_with_all)
 
 
 def erase(a: DataFrame, b: DataFrame, a_id: str, *, grid: float = 0.0, size: float | None = None, valid: bool = True) -> DataFrame:
     """What of each feature of ``a`` lies outside of the union of ``b``; features that meet none stay whole."""
-    a, b = _prepared(a, valid, grid), _prepared(b, valid, grid)
-    j = a.join(_covers(a, b, a_id, size), a_id, "left")
-    left = F.coalesce(G.difference(F.col("geom"), F.col("_u")), F.col("geom"))
-    return _finish(j.withColumn("geom", left).select(*_fields(a), "geom"))
+    return _against(*_both(a, b, valid, grid, size), "left", G.rest_of_all)
 
 
-def identity(a: DataFrame, b: DataFrame, a_id: str, strategy: str = "prefer1", **how) -> DataFrame:
+def identity(
+    a: DataFrame, b: DataFrame, a_id: str, strategy: str = "prefer1", *, grid: float = 0.0, size: float | None = None, prefix: str = "l2_"
+) -> DataFrame:
     """Intersections with fields of both, and the rest of ``a`` with the fields of ``b`` null."""
-    return intersect(a, b, strategy, **how).unionByName(erase(a, b, a_id, valid=False, **how), allowMissingColumns=True)
+    met = _both(a, b, False, grid, size)
+    return _common(*met, strategy, prefix).unionByName(_against(*met, "left", G.rest_of_all), allowMissingColumns=True)
 
 
-def sym_difference(a: DataFrame, b: DataFrame, a_id: str, b_id: str, **how) -> DataFrame:
+def sym_difference(a: DataFrame, b: DataFrame, a_id: str, b_id: str, *, grid: float = 0.0, size: float | None = None) -> DataFrame:
     """What lies in one layer only; fields of equal name share a column."""
-    return erase(a, b, a_id, valid=False, **how).unionByName(erase(b, a, b_id, valid=False, **how), allowMissingColumns=True)
+    a, b, pairs = _both(a, b, False, grid, size)
+    back = _against(b, a, pairs, "left", G.rest_of_all, "b_", "a_")
+    return _against(a, b, pairs, "left", G.rest_of_all).unionByName(back, allowMissingColumns=True)
 
 
-def update(a: DataFrame, b: DataFrame, a_id: str, **how) -> DataFrame:
+def update(a: DataFrame, b: DataFrame, a_id: str, *, grid: float = 0.0, size: float | None = None) -> DataFrame:
     """``a`` without ``b``, and ``b``."""
-    plain = b.select(*_fields(b), "geom")
-    return erase(a, b, a_id, valid=False, **how).unionByName(_finish(plain), allowMissingColumns=True)
+    a, b, pairs = _both(a, b, False, grid, size)
+    whole = b.select(*_fields(b), G.to_multi_polygon(F.col("geom")).alias("geom"))
+    return _against(a, b, pairs, "left", G.rest_of_all).unionByName(_finish(whole), allowMissingColumns=True)
 
 
-def union(a: DataFrame, b: DataFrame, a_id: str, b_id: str, strategy: str = "prefer1", **how) -> DataFrame:
+def union(
+    a: DataFrame, b: DataFrame, a_id: str, b_id: str, strategy: str = "prefer1", *, grid: float = 0.0, size: float | None = None, prefix: str = "l2_"
+) -> DataFrame:
     """Intersections, the rest of ``a`` and the rest of ``b``."""
-    return identity(a, b, a_id, strategy, **how).unionByName(erase(b, a, b_id, valid=False, **how), allowMissingColumns=True)
+    a, b, pairs = _both(a, b, False, grid, size)
+    out = _common(a, b, pairs, strategy, prefix).unionByName(_against(a, b, pairs, "left", G.rest_of_all), allowMissingColumns=True)
+    return out.unionByName(_against(b, a, pairs, "left", G.rest_of_all, "b_", "a_"), allowMissingColumns=True)
 
 
 def merge_by_input(rows: DataFrame, input_id: str) -> DataFrame:

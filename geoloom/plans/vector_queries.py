@@ -255,9 +255,9 @@ def predicates_all(spark, sf_dir):
 
 
 def _predicates(p: DataFrame, z: DataFrame) -> DataFrame:
-    pairs = overlay.envelope_pairs(boxed(p), boxed(z), CELL, touching=True)
+    pairs = overlay.met_pairs(boxed(p), boxed(z), CELL, touching=True)
     a, b = F.col("a_geom"), F.col("b_geom")
-    shared = G.area(G.intersection(a, b)) > 0
+    shared = G.area(G.common_area(a, b)) > 0
     return pairs.select("a_id", "b_id", shared.alias("overlapping"), G.within(a, b).alias("inside"), G.touches(a, b).alias("touching"))
 
 
