@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
+
+SHARES = 64  # parts into which the edges of a vertex are dealt where one vertex has many
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,13 +18,31 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def _least(edges: DataFrame, own: bool) -> DataFrame:
+    """``(u, m)``: the smallest neighbour of each vertex, or itself if that is smaller and ``own``."""
+    low = F.min("v")
+    return edges.groupBy("u").agg((F.least(low, F.col("u")) if own else low).alias("m"))
+
+
+def _beside_least(edges: DataFrame, own: bool, hot: bool) -> DataFrame:
+    """``edges`` with ``m``.  Where a vertex is hot, each vertex's edges are dealt to shares by their other end and its
+    minimum goes to the shares it has, so its edges spread over as many tasks; others have a share or two."""
+    if not hot:
+        return edges.join(_least(edges, own), "u")
+    dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SHARES)))
+    held = dealt.groupBy("u", "_s").agg(F.min("v").alias("v"))
+    low = F.min("v")
+    shares = held.groupBy("u").agg((F.least(low, F.col("u")) if own else low).alias("m"), F.collect_list("_s").alias("_all"))
+    return dealt.join(shares.select("u", "m", F.explode("_all").alias("_s")), ["u", "_s"]).drop("_s")
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` -> ``(id, root)`` for every id on an edge; root is the smallest id of its component.
 
     Alternating large and small stars (Kiveris et al., 2014): every round rewrites each edge towards the
-    smallest neighbour, so paths shorten geometrically.  Minima are pre-aggregated before each shuffle and the
-    joins are plain equi-joins that adaptive execution may split, so a star whose centre touches a third of all
-    ids doesn't land in one task.  Loops and nulls are ignored; an empty edge table gives an empty result.
+    smallest neighbour, so paths shorten geometrically.  Minima are pre-aggregated before each shuffle.  A star
+    whose centre touches more than one in ``SHARES`` edges is dealt to shares, so it doesn't land in one task.
+    Each round's table replaces the one before.  Loops and nulls are ignored; an empty edge table gives an empty result.
     """
     current = materialize(
         edges.where("u is not null and v is not null and u <> v")
@@ -34,18 +54,17 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
+        degree = current.groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        hot = degree * SHARES > max(before[0], 10_000)
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _beside_least(both, True, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = (
-            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .union(least.select("u", F.col("m").alias("v")))
+            _beside_least(large, False, False).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            .union(_least(large, False).select("u", F.col("m").alias("v")))
             .distinct()
         )
-        current = materialize(small, name)
+        old, current = current, materialize(small, name)
+        discard(old)
         after = _state(current)
         if after == before:
             break

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .graph import connected_components
 from .held import drop, slices
 from .shingles import U, mix, shingle_hashes
-from .storage import discard, materialize, release
+from .storage import discard, materialize
 
 RATIO = 1.4  # of the sizes that share one way of cutting
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
@@ -294,7 +294,6 @@ def jaccard_components(
     ties = materialize(ties.union(hot), "ties")
     wide, sets = sets, materialize(sets.select("_id", "_node", "_n"), "nodes")
     discard(wide)  # the signatures, far larger than the rest
-    release(spark)
     candidates = materialize(connected_components(ties, "candidates"), "candidates")
     # One row of each candidate node brings its text.
     nodes = sets.where("_node is not null").groupBy("_node", "_n").agg(F.min("_id").alias("_id"))
@@ -342,7 +341,6 @@ def jaccard_components(
     )
     links = flat.groupBy("_root", "_x", "_y").applyInPandas(_links(percent), "u long, v long")
     joined = materialize(connected_components(links, "links"), "components")
-    release(spark)
     named = nodes.groupBy("_node").agg(F.min("_id").alias("_id")).join(joined.withColumnRenamed("id", "_node"), "_node", "left")
     named = named.withColumn("_top", F.coalesce("root", "_node"))
     least = named.groupBy("_top").agg(F.min("_id").alias("component_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize, release
+from .storage import discard, materialize
 
 MOST_BUCKETS = 20_000
 
@@ -67,6 +67,8 @@ def suffix_ranks(lines: DataFrame, most_lines: int) -> tuple[DataFrame, int]:
         "_id", "_doc", "_j", "_i", "_words", F.array("rank").alias("_ranks"), F.col("rank").alias("_r"), F.col("n").alias("_n")
     )
     at, step = materialize(at, "lines-0"), 1
+    discard(seen)
+    held = at
     while total and step * 2 <= most_lines:
         order = Window.partitionBy("_doc").orderBy("_j")
         behind = F.when(F.lead("_j", step).over(order) == F.col("_j") + step, F.lead("_r", step).over(order))
@@ -77,6 +79,7 @@ def suffix_ranks(lines: DataFrame, most_lines: int) -> tuple[DataFrame, int]:
         keys = materialize(keys, "lines-keys")
         total = keys.agg(F.sum("n")).first()[0] or 0
         if not total:
+            discard(keys)
             break
         near = lambda c: lambda width: F.floor(F.col(c) / width)
         ranked = _rank(keys, near("a"), total, F.col("_heavy"), near("b"))
@@ -85,8 +88,9 @@ def suffix_ranks(lines: DataFrame, most_lines: int) -> tuple[DataFrame, int]:
             "_id", "_doc", "_j", "_i", "_words", F.concat("_ranks", F.array("_next")).alias("_ranks"), F.col("_next").alias("_r"), "_n"
         )
         step *= 2
-        at = materialize(at, f"lines-{step}")
-        release(at.sparkSession)
+        old, at = held, materialize(at, f"lines-{step}")
+        discard(old, keys)
+        held = at
     return at, step
 
 
@@ -102,6 +106,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # texts are split once; rows of equal id and text are one document, so each of its lines counts once
     lines = materialize(line_rows(docs, id_col, text_col).dropDuplicates(["_doc", "_j"]), "lines")
     at, _ = suffix_ranks(lines, least_words)
+    discard(lines)
     order = Window.partitionBy("_doc").orderBy("_j")
     isle = at.select("_id", "_doc", "_j", "_words", "_ranks", (F.col("_j") - F.row_number().over(order)).alias("_isle"))
     part = Window.partitionBy("_doc", "_isle").orderBy("_j")
@@ -133,7 +138,9 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     later = named.join(first, ["_len", "_p", "_q"]).where("_place <> _first")
     gone = later.select("_doc", F.explode(F.sequence(F.col("_j"), F.col("_j") + F.col("_len") - 1)).alias("_j")).distinct()
     numbers = gone.join(at.select("_doc", "_j", "_i"), ["_doc", "_j"])
-    return numbers.groupBy("_doc").agg(F.sort_array(F.collect_set("_i")).alias("_removed"))
+    removed = materialize(numbers.groupBy("_doc").agg(F.sort_array(F.collect_set("_i")).alias("_removed")), "removed-lines")
+    discard(at, named, first)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
@@ -144,6 +151,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``removed_lines`` is replaced.  Null texts stay null and blank ones stay as they are.  Rows with equal id and
     text are one document; a null id sorts before all others; an empty table stays empty.  A line that a third
     of all documents share is one key of pre-aggregated counts and of joins that adaptive execution splits.
+
+    The line numbers to be cut are written first, so Spark knows their size: where they are small enough to broadcast,
+    no text is shuffled, and beyond that both sides are dealt by document.
     """
     keep = [c for c in docs.columns if c != "removed_lines"]
     removed = repeated_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)

@@ -1,54 +1,16 @@
-"""Tables in the shared folder that ``spark.checkpoint.dir`` names; they cut lineage and survive executors."""
+"""Tables of the run folder, as the rest of the library writes them."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import discard, exists, materialize, run_dir, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests) is a local one made and set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="geoloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["discard", "exists", "materialize", "new_path", "run_dir", "shared_dir"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/geoloom-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back with the schema it was written with."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table that :func:`materialize` wrote for ``df``; nothing may be read from it any more."""
-    spark = df.sparkSession
-    home = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.removeprefix("file:").lstrip("/").startswith(home.removeprefix("file:").lstrip("/")):
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+    """A folder of its own for ``name`` in the run folder."""
+    import uuid
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
