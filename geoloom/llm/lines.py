@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sieve import sift
 from .storage import discard, materialize
 
 MOST_BUCKETS = 20_000
@@ -152,15 +153,19 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text are one document; a null id sorts before all others; an empty table stays empty.  A line that a third
     of all documents share is one key of pre-aggregated counts and of joins that adaptive execution splits.
 
-    The line numbers to be cut are written first, so Spark knows their size: where they are small enough to broadcast,
-    no text is shuffled, and beyond that both sides are dealt by document.
+    Only texts that may have lines to be cut are dealt by document; a bitmap of these documents, of fixed size, lets all others
+    pass where they are.
     """
     keep = [c for c in docs.columns if c != "removed_lines"]
     removed = repeated_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)
-    text = F.col(text_col).cast("string")
-    keyed = docs.select(*keep).withColumn("_doc", F.xxhash64(F.col(id_col).cast("long"), text))
-    joined = keyed.join(removed, "_doc", "left")
+    packed = docs.select(F.struct(*keep).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_doc"))
+    some, whole = sift(packed, F.col("_doc"), removed, F.col("_doc"))
+    none = F.array().cast("array<int>")
+
+    def out(rows: DataFrame, text, gone) -> DataFrame:
+        return rows.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in keep], gone.alias("removed_lines"))
+
+    text = F.col("_row").getField(text_col).cast("string")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda l, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), text).otherwise(rest)).select(
-        *keep, F.coalesce("_removed", F.array().cast("array<int>")).alias("removed_lines")
-    )
+    cut = out(some.join(removed, "_doc", "left"), F.when(F.col("_removed").isNull(), text).otherwise(rest), F.coalesce("_removed", none))
+    return cut.unionAll(out(whole, text, none))
