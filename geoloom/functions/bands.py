@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -319,3 +319,34 @@ def lai(nir: Column, red: Column, nan_is_dense: bool = True) -> Column:
     v = ndvi(nir, red)
     low = F.when(v <= 0.1, 0.0).otherwise(-F.ln((0.69 - F.when((v > 0.1) & (v < 0.69), v).otherwise(0.1)) / 0.59) / 0.91)
     return F.when(F.isnan(v), F.lit(6.0 if nan_is_dense else NAN)).when(v >= 0.69, 6.0).otherwise(low)
+
+
+#: The least and greatest number of each whole band type.
+RANGES = {
+    "Byte": (0, 255), "Int8": (-128, 127), "UInt16": (0, 65535), "Int16": (-32768, 32767), "UInt32": (0, 4294967295), "Int32": (-2147483648, 2147483647),
+}
+
+
+def to_band_type(v: Column, kind: str, nodata: float | None = None) -> Column:
+    """A value as a band of a type stores it: whole types round half away from zero and hold to their range, Float32
+    rounds to single precision, Float64 keeps it.  NaN and null are ``nodata`` (0 where there is none) in whole types."""
+    if kind in RANGES:
+        low, high = RANGES[kind]
+        rounded = F.signum(v) * F.floor(F.abs(v) + 0.5)
+        held = F.least(F.greatest(rounded, F.lit(float(low))), F.lit(float(high)))
+        empty = F.lit(float(nodata or 0))
+        return F.when(v.isNull() | F.isnan(v), empty).otherwise(held)
+    if kind not in ("Float32", "Float64"):
+        raise ValueError(f"unknown band type {kind}")
+    return v.cast("float").cast("double") if kind == "Float32" else v
+
+
+def calculate_and_write(pixels: DataFrame, text: str, target: int, kinds: dict[int, str], condition: str | None = None, nodata: float = -9999.0) -> DataFrame:
+    """Wide pixels ``b1, b2 ...`` with band ``target`` set to an expression's values in that band's type.
+
+    ``kinds`` names the type of each band there is; a target that isn't among them is refused.
+    """
+    if target not in kinds:
+        raise ValueError(f"invalid target band {target}: there are {sorted(kinds)}")
+    value = calculate(text, {n: F.col(f"b{n}").cast("double") for n in kinds}, condition, nodata)
+    return pixels.withColumn(f"b{target}", to_band_type(value, kinds[target], nodata))

@@ -232,3 +232,33 @@ def balance_many(rasters: dict[str, DataFrame], reference: DataFrame, method: st
 
 def polygon_area_in_pixels(g: bytes, gt: tuple[float, ...]) -> float:
     return planar.area(model.from_wkb(g)) / abs(gt[1] * gt[5] - gt[2] * gt[4])
+
+
+def read_tile(pixels: DataFrame, gt: tuple[float, ...], width: int, height: int, z: int, x: int, y: int, size: int = 256) -> DataFrame:
+    """``(band, py, px, v)``: a Web Mercator tile of a raster in EPSG:3857 by bilinear interpolation.
+
+    Only the source pixels that the tile needs are read.  Pixels outside of the raster are left out.  A raster of one band
+    gives three equal ones, one of two bands none, and of more than four the first three count.
+    """
+    edge = 20037508.342789244
+    side = 2 * edge / 2**z / size
+    at = pixels.sparkSession.range(size).select(F.col("id").cast("int").alias("n"))
+    cols = at.select(F.col("n").alias("px"), (((F.lit(-edge + x * size * side) + (F.col("n") + 0.5) * side) - gt[0]) / gt[1] - 0.5).alias("_x"))
+    rows = at.select(F.col("n").alias("py"), (((F.lit(edge - y * size * side) - (F.col("n") + 0.5) * side) - gt[3]) / gt[5] - 0.5).alias("_y"))
+
+    def taps(axis: DataFrame, place: str, source: str, n: int, weight: str) -> DataFrame:
+        inside = axis.where((F.col(place) >= -0.5) & (F.col(place) < n - 0.5))
+        low = F.floor(place)
+        share = F.col(place) - low
+        both = F.explode(F.array(F.struct(low.alias("s"), (1 - share).alias("w")), F.struct((low + 1).alias("s"), share.alias("w")))).alias("_t")
+        out = inside.select(axis.columns[0], both).select(axis.columns[0], F.least(F.greatest(F.col("_t.s"), F.lit(0)), F.lit(n - 1)).cast("int").alias(source), F.col("_t.w").alias("w"))
+        return out.groupBy(axis.columns[0], source).agg(F.sum("w").alias(weight)).where(F.col(weight) > 0)
+
+    wx, wy = F.broadcast(taps(cols, "_x", "x", width, "_wx")), F.broadcast(taps(rows, "_y", "y", height, "_wy"))  # 2 * size rows each
+    met = pixels.where(~F.isnan("v")).join(wx, "x").join(wy, "y")
+    w = F.col("_wx") * F.col("_wy")
+    out = met.groupBy("band", "py", "px").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("v"))
+    bands = pixels.agg(F.max("band")).first()[0] or 0
+    if bands == 1:
+        return out.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("band"), "py", "px", "v")
+    return out.where(F.lit(bands > 2) & (F.col("band") <= (3 if bands != 4 else 4)))

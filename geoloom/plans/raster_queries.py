@@ -329,3 +329,117 @@ def merge_bands(spark, sf_dir):
     from ..operators import raster_geometry as RG
 
     return RG.pick_bands(long_rgb(spark, sf_dir), [3, 1]).select("band", "y", "x", "v")
+
+
+#: Weights of the source pixels around a target pixel at twice the size, nearest side first: at 0.25, 0.75, 1.25 ... away.
+_SINC = "(sin(pi() * {t}) / (pi() * {t})) * (sin(pi() * {t} / 3) / (pi() * {t} / 3))"
+TAPS = {
+    "bilinear": ["0.75::double", "0.25::double"],
+    "cubic": ["0.8671875::double", "0.2265625::double", "-0.0703125::double", "-0.0234375::double"],
+    "cubicspline": ["(2::double/3 - 0.0625 + 0.0078125)", "(2::double/3 - 0.5625 + 0.2109375)", "(0.421875::double/6)", "(0.015625::double/6)"],
+    "lanczos": [_SINC.format(t=t) for t in ("0.25::double", "0.75::double", "1.25::double", "1.75::double", "2.25::double", "2.75::double")],
+}
+
+
+def _doubled(method: str) -> None:
+    """The raster at twice its size: along x, then along y; beyond a border the border pixel counts."""
+    taps = TAPS[method]
+
+    def side(even: bool, axis: str, by: str) -> str:
+        terms = []
+        for n, w in enumerate(taps):
+            far = (n + 1) // 2  # steps away: own, beside, other side, ...
+            ahead = (n % 2 == 1) != even
+            f = "lead" if ahead else "lag"
+            shifts = [f"{f}(v, {k}) over (partition by {by} order by {axis})" for k in range(far, 0, -1)]
+            terms.append(f"({w}) * coalesce({', '.join([*shifts, 'v'])})" if far else f"({w}) * v")
+        return f"({' + '.join(terms)}) / ({' + '.join(taps)})"
+
+    sql = f"""with {R_SQL}, a as (select y, 2 * x x, {side(True, 'x', 'y')} v from r union all select y, 2 * x + 1, {side(False, 'x', 'y')} from r),
+ b as (select 2 * y y, x, {side(True, 'y', 'x')} v from a union all select 2 * y + 1, x, {side(False, 'y', 'x')} from a)
+ select cast(y as integer) y, cast(x as integer) x, round(v, 9) v from b"""
+
+    @query(sql, f"resample_{method}")
+    def run(spark, sf_dir):
+        r = raster(spark, sf_dir)
+        rows = r.agg(F.max("y")).first()[0] + 1
+        return R.resample(r, 64, rows, 128, 2 * rows, method).select("y", "x", F.round("v", 9).alias("v"))
+
+
+for _method in TAPS:
+    _doubled(_method)
+
+_band("band_math_pow", lambda: B.band_math(F.col("b1"), F.col("b3"), "pow"), "power(b1, b3)")
+
+
+@query(f"with {R_SQL} select round(min(v), 9) \"min\", round(max(v), 9) \"max\", round(avg(v), 9) mean, round(stddev_pop(v), 9) stddev, count(*) n from r where x between 10 and 29 and y between 100 and 299")
+def region_stats(spark, sf_dir):
+    s = R.statistics(R.region(raster(spark, sf_dir), 10, 100, 20, 200))
+    return s.select(*[F.round(c, 9).alias(c) for c in ("min", "max", "mean", "stddev")], "n")
+
+
+def _curve_sql(points: list[tuple[float, float]], v: str) -> str:
+    """Catmull-Rom through control points, as the usual matrix form, cut to whole bytes."""
+    xs, ys = zip(*points)
+    cases = [f"when {v} <= {xs[0]} then {ys[0]}::double", f"when {v} >= {xs[-1]} then {ys[-1]}::double"]
+    for k in range(len(xs) - 1):
+        p0, p1, p2, p3 = ys[max(k - 1, 0)], ys[k], ys[k + 1], ys[min(k + 2, len(ys) - 1)]
+        t = f"(({v} - {xs[k]})::double / {xs[k + 1] - xs[k]})"
+        cases.append(f"when {v} <= {xs[k + 1]} then 0.5::double * (2 * {p1} + ({p2 - p0}) * {t} + ({2 * p0 - 5 * p1 + 4 * p2 - p3}) * {t} * {t} + ({3 * p1 - p0 - 3 * p2 + p3}) * {t} * {t} * {t})")
+    return f"cast(floor(least(greatest(case {' '.join(cases)} end, 0), 255) + 1e-9) as integer)"
+
+
+def _curve(name: str, points: list[tuple[float, float]]) -> None:
+    @query(f"with {RGB_SQL} select y, x, {', '.join(f'{_curve_sql(points, c)} {c}' for c in ('b1', 'b2', 'b3'))} from g", name)
+    def run(spark, sf_dir):
+        table = colors.curve_table(points)
+        return rgb(spark, sf_dir).select("y", "x", *[colors.lookup(table, F.col(c)).alias(c) for c in ("b1", "b2", "b3")])
+
+
+_curve("curve_three_points", [(0, 20), (100, 60), (255, 240)])
+_curve("s_curve", [(0, 0), (64, 48), (128, 128), (192, 208), (255, 255)])
+
+
+def _byte(text: str) -> str:
+    return f"cast(floor(least(greatest({text}, 0), 255)) as integer)"
+
+
+def _adjusted(name: str, how, text: str) -> None:
+    @query(f"with {RGB_SQL} select y, x, {', '.join(f'{_byte(text.format(v=c))} {c}' for c in ('b1', 'b2', 'b3'))} from g", name)
+    def run(spark, sf_dir):
+        r, g, b = colors.adjust(F.col("b1"), F.col("b2"), F.col("b3"), how)
+        return rgb(spark, sf_dir).select("y", "x", r.alias("b1"), g.alias("b2"), b.alias("b3"))
+
+
+_adjusted("adjust_brightness", colors.Adjust(brightness=0.2), "{v} + 51::double")
+_adjusted("adjust_contrast", colors.Adjust(contrast=0.25), "({v}::double - 128) * 1.5 + 128")
+_adjusted("adjust_contrast_down", colors.Adjust(contrast=-0.5), "({v}::double - 128) * 0.5 + 128")
+
+
+@query(f"with {B_SQL} select {K}, case when b1 > 10 then least(greatest(sign(b2 * 3 - 50) * floor(abs(b2 * 3 - 50) + 0.5), 0), 255) else 0 end b1, b2, b3, b4 from b")
+def band_write_byte(spark, sf_dir):
+    """An expression written to a band of bytes: rounded and held to 0..255; where the condition fails, nodata is."""
+    kinds = {1: "Byte", 2: "Float64", 3: "Float64", 4: "Float64"}
+    return B.calculate_and_write(bands(spark, sf_dir), "b2 * 3 - 50", 1, kinds, "b1 > 10", 0.0)
+
+
+@query(f"with {B_SQL} select {K}, b1, cast(cast(b2 / 3 as float) as double) b2, b3, b4 from b")
+def band_write_single(spark, sf_dir):
+    kinds = {1: "Float64", 2: "Float32", 3: "Float64", 4: "Float64"}
+    return B.calculate_and_write(bands(spark, sf_dir), "b2 / 3", 2, kinds)
+
+
+@query(f"""with {R_SQL}, t as (select unnest(range(0, 16)) n), n as (select max(y) + 1 rows from r),
+ c as (select n px, (n + 0.5::double) * 4 - 0.5 p from t), d as (select n py, (n + 0.5::double) * 4 - 0.5 p from t),
+ cx as (select px, cast(floor(p) as integer) x0, p - floor(p) w from c), dy as (select py, cast(floor(p) as integer) y0, p - floor(p) w from d)
+ select cast(k as integer) band, cast(py as integer) py, cast(px as integer) px,
+ round((1 - cx.w) * (1 - dy.w) * a.v + cx.w * (1 - dy.w) * b.v + (1 - cx.w) * dy.w * e.v + cx.w * dy.w * f.v, 9) v
+ from cx, dy, range(1, 4) q(k), r a, r b, r e, r f where a.x = x0 and a.y = y0 and b.x = x0 + 1 and b.y = y0 and e.x = x0 and e.y = y0 + 1 and f.x = x0 + 1 and f.y = y0 + 1""")
+def tile_bilinear(spark, sf_dir):
+    """The tile in the world's corner of a raster with four pixels to each of its sixteen."""
+    from ..operators import raster_geometry as RG
+
+    r = raster(spark, sf_dir).withColumn("band", F.lit(1))
+    rows = r.agg(F.max("y")).first()[0] + 1
+    edge, side = 20037508.342789244, 2 * 20037508.342789244 / 2**3 / 64
+    return RG.read_tile(r, (-edge, side, 0.0, edge, 0.0, -side), 64, rows, 3, 0, 0, 16).select("band", "py", "px", F.round("v", 9).alias("v"))

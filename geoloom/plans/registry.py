@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import raster_queries, vector_queries  # noqa: F401
+from . import raster_queries, shape_queries, vector_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
