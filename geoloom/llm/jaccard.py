@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .graph import connected_components
 from .held import drop, slices
 from .shingles import U, mix, shingle_hashes
+from .sieve import sift
 from .storage import discard, materialize
 
 RATIO = 1.4  # of the sizes that share one way of cutting
@@ -22,6 +23,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 COMMON_SHARE, MOST_COMMON, TALLY_DOCS = 0.001, 200_000, 2000  # what counts as common, and how many are told apart
 RARE_ORDERS = 3
 COLUMNS = 4096  # of the global order, counted together
+PARTS = 8  # fragments of the global order in which overlaps of a pair are counted apart; a power of two
+PROBES = 2  # likely links of a set that are looked at first
 
 
 def size_class(n: int) -> int:
@@ -92,7 +95,10 @@ class Cutter:
             found, enough = self.cut(rare, klass, RARE_ORDERS, 0)
             some += found
             if not enough:
-                whole += self.cut(h, klass, 64, 1)[0]
+                found, enough = self.cut(h, klass, 4096, 1)
+                if not enough:
+                    raise RuntimeError(f"no order of 4096 cuts a set of {n} shingles evenly enough")
+                whole += found
         return some, whole
 
 
@@ -167,18 +173,21 @@ def _sets(width: int, percent: int, shared):
 
 
 def _arrays(width: int):
+    """Each text's set cut along the global order into ``PARTS`` fragments."""
+    edges = (np.arange(1, PARTS, dtype=np.uint64) << U(64 - PARTS.bit_length() + 1)).astype(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch):
                     found = [shingle_hashes(t, width) for t in part.column(0).to_pylist()]
                     nodes = pa.array([node_of(h) for h in found], pa.int64())
-                    found = [h.view(np.int64) for h in found]
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["_node", "_h"]
-                    )
+                    sizes = [np.diff(np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])) for h in found]
+                    inner = np.concatenate([[0], np.cumsum(np.concatenate(sizes))] if found else [[0]]).astype(np.int32)
+                    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(flat))
+                    outer = pa.array(np.arange(len(found) + 1, dtype=np.int32) * PARTS)
+                    yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(outer, lists)], ["_node", "_parts"])
 
     return run
 
@@ -226,13 +235,14 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("_node")
         same = frame["_x"].iloc[0] == frame["_y"].iloc[0]
         left = frame["_block"] == frame["_x"].iloc[0]
         parts = [frame] if same else [frame[left], frame[~left]]
         out: list[tuple[int, int]] = []
         if all(len(p) for p in parts):
-            a = [np.asarray(h, np.int64) for h in parts[0]["_h"]]
-            b = None if same else [np.asarray(h, np.int64) for h in parts[1]["_h"]]
+            a = [np.concatenate(h).astype(np.int64) for h in parts[0]["_parts"]]
+            b = None if same else [np.concatenate(h).astype(np.int64) for h in parts[1]["_parts"]]
             o = overlaps(a, b)
             na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in (a if same else b)])
             ok = 100 * o >= percent * (na[:, None] + nb[None, :] - o)
@@ -241,23 +251,114 @@ def _links(percent: int):
                 full = np.zeros((n + len(b), n + len(b)), bool)
                 full[:n, n:], full[n:, :n] = ok, ok.T
                 ok = full
-            nodes = np.concatenate([p["_node"].to_numpy() for p in parts])
-            out = [(nodes[i], nodes[j]) for i, j in forest(ok)]
+            of = np.concatenate([p["_sub"].to_numpy() for p in parts])
+            out = [(of[i], of[j]) for i, j in forest(ok) if of[i] != of[j]]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def _beside(d: int):
-    """Pairs of a row's block with the blocks of the class ``d`` further on."""
+def _ties(sets: DataFrame) -> DataFrame:
+    """``(u, v, n)``: candidates that share ``n`` signatures, v < u; each set is tied to its neighbours only.
+
+    Few sets share a fragment of rare shingles: neighbours in it are tied, in one shuffle.  A third of all sets may share
+    a whole fragment: these are tied to its smallest node, from pre-aggregated minima.
+    """
+    order = Window.partitionBy("_sig").orderBy("_node")
+    signed = sets.select("_node", F.explode("_sigs").alias("_sig"))
+    near = signed.withColumn("_before", F.lag("_node").over(order)).where("_before < _node").select(F.col("_node").alias("u"), F.col("_before").alias("v"))
+    whole = sets.where(F.size("_whole") > 0).select("_node", F.explode("_whole").alias("_sig")).distinct()
+    low = whole.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high").select("_sig", "_low")
+    hot = whole.join(low, "_sig").select(F.col("_node").alias("u"), F.col("_low").alias("v")).where("u <> v")
+    return near.union(hot).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+def linked_pairs(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v, nu, nv)`` that link: overlaps are counted for each fragment apart and summed per pair."""
+    part = arrays.select("_node", F.posexplode("_parts").alias("_f", "_h")).where(F.size("_h") > 0)
+    one = pairs.join(part.select(F.col("_node").alias("u"), "_f", F.col("_h").alias("_hu")), "u")
+    both = one.join(part.select(F.col("_node").alias("v"), "_f", F.col("_h").alias("_hv")), ["v", "_f"])
+    counts = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("_hu", "_hv")).cast("long").alias("_o"))
+    total = counts.groupBy("u", "v", "nu", "nv").agg(F.sum("_o").alias("_o"))
+    return total.where(100 * F.col("_o") >= percent * (F.col("nu") + F.col("nv") - F.col("_o"))).select("u", "v")
 
-    def pair(j):
-        here = F.struct(F.col("_class").alias("c"), F.col("_at").alias("b"))
-        there = F.struct((F.col("_class") + d).alias("c"), j.cast("int").alias("b"))
-        x, y = (here, there) if d > 0 else (there, here)
-        return F.struct(x.alias("x"), y.alias("y"))
 
-    return pair
+def _open_pairs(dealt: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(_p, _x, _y, _block)``: pairs of blocks whose sets may still link, with a row for either block; and the groups
+    that are cut into blocks.
+
+    ``dealt(_node, _n, _root, _class, _sub, _big)`` are sets whose candidate group ``_root`` isn't all of one component.
+    Sets of one big component form blocks of their own, which never meet each other.
+    """
+    key = ["_root", "_class", "_big", "_own"]
+    groups = dealt.groupBy(*key).agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("long").alias("_k")
+    ).withColumn("_g", F.xxhash64(*key))
+    reach = 1 + max(0, math.ceil(math.log(100 / percent) / math.log(RATIO)) - 1)
+    x = groups.select("_root", "_class", F.col("_g").alias("_gx"), F.col("_k").alias("_kx"))
+    y = groups.select(
+        "_root", F.explode(F.sequence(F.col("_class") - reach, F.col("_class") + reach)).alias("_class"), F.col("_g").alias("_gy"), F.col("_k").alias("_ky"), F.col("_big").alias("_by")
+    )
+    met = x.join(y, ["_root", "_class"]).where((F.col("_gx") < F.col("_gy")) | ((F.col("_gx") == F.col("_gy")) & ~F.col("_by")))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    met = met.withColumn("_ax", upto("_kx")).withColumn("_ay", upto("_ky")).where((F.col("_gx") != F.col("_gy")) | (F.col("_ax") <= F.col("_ay")))
+    met = met.select(F.xxhash64("_gx", "_ax").alias("_x"), F.xxhash64("_gy", "_ay").alias("_y")).withColumn("_p", F.xxhash64("_x", "_y"))
+    return met.withColumn("_block", F.explode(F.array_distinct(F.array("_x", "_y")))), groups.select(*key, "_g", "_k")
+
+
+def _rest_links(ties: DataFrame, nodes: DataFrame, arrays: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
+    """``(id, root)`` over the components ``first(id, root)``: which of them further links join; None where none are open.
+
+    Ties between different components leave candidate groups open.  In each of these, sets are dealt to blocks by size
+    class, and for every two blocks whose sizes may link and that aren't of one component, partial overlaps are counted
+    fragment by fragment and summed per pair; a block pair returns a spanning forest.
+    """
+    named = lambda c, to: first.select(F.col("id").alias(c), F.col("root").alias(to))
+    mapped = ties.select("u", "v").join(named("u", "_ru"), "u", "left").join(named("v", "_rv"), "v", "left")
+    cross = mapped.select(F.coalesce("_ru", "u").alias("u"), F.coalesce("_rv", "v").alias("v")).where("u <> v").distinct()
+    cross = materialize(cross, "open-ties")
+    if cross.isEmpty():
+        return None
+    groups = connected_components(cross, "candidates").select(F.col("id").alias("_sub"), F.col("root").alias("_root"))
+    log = F.floor(F.log(F.greatest(F.col("_n"), F.lit(1)).cast("double")) / math.log(RATIO) + 1e-9).cast("int")
+    owned = nodes.select("_node", "_n", log.alias("_class")).join(named("_node", "_sub"), "_node", "left").withColumn("_sub", F.coalesce("_sub", "_node"))
+    opened = materialize(owned.join(groups, "_sub"), "open-sets")
+    sizes = opened.groupBy("_sub").agg((F.count("*") >= BLOCK_SETS // 4).alias("_big"))
+    dealt = opened.join(sizes, "_sub").withColumn("_own", F.when(F.col("_big"), F.col("_sub")).otherwise(0))
+    pairs, made = _open_pairs(dealt, percent)
+    placed = dealt.join(made, ["_root", "_class", "_big", "_own"]).select(
+        "_node", "_sub", F.xxhash64("_g", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_k"))).alias("_block")
+    )
+    found = placed.join(pairs, "_block").join(arrays, "_node").groupBy("_p").applyInPandas(_links(percent), "u long, v long")
+    joined = connected_components(found, "links")
+    discard(cross, opened)
+    return joined
+
+
+def _component_roots(sets: DataFrame, ties: DataFrame, rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(_node, root)``, without nodes that have no links or with themselves as roots, and the table of all nodes."""
+    nodes = materialize(sets.where("_node is not null").groupBy("_node", "_n").agg(F.min("_id").alias("_id")), "set-nodes")
+    tied = ties.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
+    # one row of each candidate node brings its text
+    wanted = materialize(nodes.join(tied, "_node").where("_id is not null").select("_id").distinct(), "wanted")
+    texts = sift(rows, F.col("_id"), wanted, F.col("_id"))[0].join(wanted, "_id", "left_semi").select("_text")
+    arrays = texts.mapInArrow(_arrays(width), "_node long, _parts array<array<long>>")
+    if sets.where("_node is not null").groupBy("_id").agg(F.count("*").alias("_k")).where("_k > 1").take(1):
+        arrays = arrays.dropDuplicates(["_node"])  # only where ids repeat can a node's text come twice
+    arrays = materialize(arrays, "fragments")
+    size = lambda c, to: nodes.select(F.col("_node").alias(c), F.col("_n").alias(to))
+    most = Window.partitionBy("u").orderBy(F.desc("n"), "v")
+    likely = ties.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= PROBES).select("u", "v")
+    likely = likely.join(size("u", "nu"), "u").join(size("v", "nv"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    links = linked_pairs(likely, arrays, percent)
+    first = connected_components(links, "first-links")
+    rest = _rest_links(ties, nodes, arrays, first, percent)
+    discard(arrays)
+    if rest is None:
+        return first.select(F.col("id").alias("_node"), "root"), nodes
+    rest = rest.select(F.col("id").alias("_first"), F.col("root").alias("_root"))
+    every = nodes.select("_node").join(first.withColumnRenamed("id", "_node"), "_node", "left").withColumn("_first", F.coalesce("root", "_node"))
+    return every.join(rest, "_first", "left").select("_node", F.coalesce("_root", "_first").alias("root")), nodes
 
 
 def jaccard_components(
@@ -269,10 +370,10 @@ def jaccard_components(
     1. Each text becomes a set of shingle hashes (64 bits) and equal sets become one node, so copies never pair.
     2. Every set is cut along the global order into fragments, common shingles left out (:class:`Cutter`); sets that
        share a fragment are candidates.  Each is tied to one other of them, so ties grow with the rows.
-    3. Components of candidates are cut into blocks by size class; for each pair of blocks whose sizes may link,
-       partial overlaps are counted fragment by fragment and summed per pair, and a block pair returns a spanning
-       forest of its links.  All pairs of a candidate component are compared, so no link between different sets
-       is lost, and a hot component spreads over its block pairs.
+    3. Of each set, the ``PROBES`` ties with the most shared fragments are verified: partial overlaps are counted per
+       fragment and summed per pair (:func:`linked_pairs`).  That alone joins most near copies, in linear work.
+    4. Where ties are left between different components, all sets of such a candidate group that aren't yet of one
+       component are compared in blocks (:func:`_rest_links`), so no link between different sets is lost.
 
     Null, empty and blank texts have no shingles and are components of their own.  Null ids keep their rows, but
     a set that only they hold links with none; repeated ids share a component; an empty table gives an empty result;
@@ -282,66 +383,12 @@ def jaccard_components(
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(rows, width))  # MOST_COMMON hashes at most
     schema = "_id long, _node long, _n long, _sigs array<long>, _whole array<long>"
-    sets = materialize(rows.mapInArrow(_sets(width, percent, common), schema), "sets")
-    # Few sets share a fragment of rare shingles: neighbours in it are tied, in one shuffle.
-    order = Window.partitionBy("_sig").orderBy("_node")
-    signed = sets.select("_node", F.explode("_sigs").alias("_sig"))
-    ties = signed.withColumn("_before", F.lag("_node").over(order)).where("_before < _node").select(F.col("_node").alias("u"), F.col("_before").alias("v")).distinct()
-    # A third of all sets may share a whole fragment: tied to its smallest node, from pre-aggregated minima.
-    whole = sets.where(F.size("_whole") > 0).select("_node", F.explode("_whole").alias("_sig")).distinct()
-    low = whole.groupBy("_sig").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high").select("_sig", "_low")
-    hot = whole.join(low, "_sig").select(F.col("_node").alias("u"), F.col("_low").alias("v")).where("u <> v").distinct()
-    ties = materialize(ties.union(hot), "ties")
-    wide, sets = sets, materialize(sets.select("_id", "_node", "_n"), "nodes")
+    wide = materialize(rows.mapInArrow(_sets(width, percent, common), schema), "sets")
+    ties, sets = materialize(_ties(wide), "ties"), materialize(wide.select("_id", "_node", "_n"), "nodes")
     discard(wide)  # the signatures, far larger than the rest
-    candidates = materialize(connected_components(ties, "candidates"), "candidates")
-    # One row of each candidate node brings its text.
-    nodes = sets.where("_node is not null").groupBy("_node", "_n").agg(F.min("_id").alias("_id"))
-    wanted = nodes.join(candidates.withColumnRenamed("id", "_node"), "_node").where("_id is not null")
-    texts = rows.join(wanted.select("_id").distinct(), "_id", "left_semi").select("_text")
-    arrays = texts.mapInArrow(_arrays(width), "_node long, _h array<long>")
-    if sets.where("_node is not null").groupBy("_id").agg(F.count("*").alias("_k")).where("_k > 1").take(1):
-        arrays = arrays.dropDuplicates(["_node"])  # only where ids repeat can a node's text come twice
-    log = F.floor(F.log(F.greatest(F.col("_n"), F.lit(1)).cast("double")) / math.log(RATIO) + 1e-9).cast("int")
-    dealt = wanted.select("_node", F.col("root").alias("_root"), "_n", log.alias("_class"))
-    blocks = dealt.groupBy("_root", "_class").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("_blocks")
-    )
-    reach = 1 + max(0, math.ceil(math.log(100 / percent) / math.log(RATIO)) - 1)
-    around = blocks
-    for d in range(-reach, reach + 1):
-        if d:
-            near = blocks.select("_root", (F.col("_class") - d).alias("_class"), F.col("_blocks").alias(f"_b{d + reach}"))
-            around = around.join(near, ["_root", "_class"], "left")
-    own = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda j: F.struct(
-            F.struct(F.col("_class").alias("c"), F.least(F.col("_at"), j).alias("b")).alias("x"),
-            F.struct(F.col("_class").alias("c"), F.greatest(F.col("_at"), j).alias("b")).alias("y"),
-        ),
-    )
-    keys = [own]
-    for d in range(-reach, reach + 1):
-        if d:
-            n = F.coalesce(F.col(f"_b{d + reach}"), F.lit(0))
-
-            none = F.array().cast("array<struct<x:struct<c:int,b:int>,y:struct<c:int,b:int>>>")
-            keys.append(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), _beside(d))).otherwise(none))
-    spread = (
-        # one component may hold a third of all sets: its few block rows meet them in sixteen shares
-        dealt.withColumn("_share", F.pmod(F.xxhash64("_node", F.lit(5)), F.lit(16)).cast("int"))
-        .join(around.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["_root", "_class", "_share"])
-        .withColumn("_at", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_blocks")).cast("int"))
-        .select("_node", "_root", F.struct(F.col("_class").alias("c"), F.col("_at").alias("b")).alias("_block"), F.explode(F.concat(*keys)).alias("_pair"))
-        .join(arrays, "_node")
-        .select("_node", "_root", "_block", F.col("_pair.x").alias("_x"), F.col("_pair.y").alias("_y"), "_h")
-    )
-    flat = spread.select(
-        "_node", "_root", "_h", *[(F.col(f"{c}.c").cast("long") * 1_000_000_000 + F.col(f"{c}.b")).alias(c) for c in ("_block", "_x", "_y")]
-    )
-    links = flat.groupBy("_root", "_x", "_y").applyInPandas(_links(percent), "u long, v long")
-    joined = materialize(connected_components(links, "links"), "components")
-    named = nodes.groupBy("_node").agg(F.min("_id").alias("_id")).join(joined.withColumnRenamed("id", "_node"), "_node", "left")
+    joined, nodes = _component_roots(sets, ties, rows, width, percent)
+    discard(ties)
+    named = nodes.groupBy("_node").agg(F.min("_id").alias("_id")).join(joined, "_node", "left")
     named = named.withColumn("_top", F.coalesce("root", "_node"))
     least = named.groupBy("_top").agg(F.min("_id").alias("component_id"))
     by_node = named.join(least, "_top").select("_node", "component_id")
