@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +14,7 @@ from .graph import connected_components
 from .storage import materialize
 
 BLOCK = 1024
+WIDE = 512  # cells that one k-means fits
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -33,6 +36,20 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
+def grown_cells(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
+    """``k`` unit centroids at most: in one go while few, else the cells of coarse cells, in proportion to their rows."""
+    if k <= WIDE:
+        return spherical_kmeans(x, min(k, len(x)), seed=seed)
+    coarse = spherical_kmeans(x, math.isqrt(k), seed=seed)
+    home = np.concatenate([(x[at : at + 4096] @ coarse.T).argmax(1) for at in range(0, len(x), 4096)])
+    out = []
+    for i in range(len(coarse)):
+        own = x[home == i]
+        share = min(len(own), round(k * len(own) / len(x)))
+        out.append(spherical_kmeans(own, share, seed=seed + i) if share > 1 else coarse[i : i + 1])
+    return np.concatenate(out)
+
+
 def cells_of(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """The nearest cell of each unit row, and for each row and cell whether a vector within the angle of ``cosine``
     may call that cell its nearest (a bound that loses none; the slack covers rounding)."""
@@ -40,7 +57,7 @@ def cells_of(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, n
     home = s.argmax(1)
     if cosine <= 0:
         return home, np.ones(s.shape, bool)
-    apart = 2 - 2 * (c @ c.T)[home]  # squared distance of each centroid from the home centroid
+    apart = 2 - 2 * (c[home] @ c.T)  # squared distance of each centroid from the home centroid
     gap = s[np.arange(len(x)), home][:, None] - s
     reach = np.sqrt(np.maximum(apart - gap * gap, 0)) * np.sqrt(max(1 - cosine**2, 0)) / cosine
     return home, gap <= reach + 1e-6
@@ -54,8 +71,8 @@ def _assign(shared, cosine: float):
                 continue
             vectors = [np.asarray(v, np.float64) for v in batch.column("_v").to_pylist()]
             areas = []
-            for at in range(0, len(vectors), 1000):
-                part = vectors[at : at + 1000]
+            for at in range(0, len(vectors), 256):
+                part = vectors[at : at + 256]
                 found: list = [None] * len(part)
                 for dim in {len(v) for v in part}:
                     pick = [i for i, v in enumerate(part) if len(v) == dim]
@@ -68,8 +85,8 @@ def _assign(shared, cosine: float):
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     home, ok = cells_of(x, c, cosine)
                     meets = np.zeros((len(pick), area.max() + 1), bool)
-                    for a in range(meets.shape[1]):
-                        meets[:, a] = ok[:, area == a].any(1)
+                    row, cell = np.nonzero(ok)
+                    meets[row, area[cell]] = True
                     for i, own, row in zip(pick, area[home], meets, strict=True):
                         # a pair of two areas is compared in the later one
                         found[i] = np.concatenate([[own], own + 1 + np.flatnonzero(row[own + 1 :])]) + (dim << 32)
@@ -118,19 +135,19 @@ def _compare(cosine: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, cell_rows: int = 1024,
-    probes: int | None = None, sample_rows: int = 20_000, most_cells: int = 2048,
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, cell_rows: int = 256,
+    sample_rows: int = 100_000, most_cells: int = 16_384,
 ) -> DataFrame:
     """``vectors`` -> ``(id, n_links, component_id, kept)`` over pairs whose cosine is at least ``cosine``.
 
-    Centroids are fitted on at most ``sample_rows`` vectors (64 MB of them), the ones with the smallest hash; one
-    cell for ``cell_rows`` rows, ``most_cells`` at most.  Neighbouring cells form areas of up to eight cells' rows.
-    Every vector has a home area and is also listed in each later area with a cell that a vector within the angle
+    Centroids are fitted on at most ``sample_rows`` vectors (64 MB of them), the ones with the smallest hash: a cell for
+    ``cell_rows`` rows, coarse cells first and then cells within them where there are many.  ``most_cells`` bounds what
+    every task holds (8 MB at 64 components), not what is compared.  Neighbouring cells form areas of some thousand
+    rows.  Every vector has a home area and is also listed in each later area with a cell that a vector within the angle
     may call home; home rows meet listed rows in blocks, by double-precision products.  That bound has no cap, so
     every pair is found and counted exactly; where the vectors have no clusters it excludes little, and the blocks
     grow with the square of the rows.  Equal vectors are one node with a count, so copies never pair; larger areas
     only mean more block pairs, so nothing is capped.  Each block pair returns link counts and a spanning forest.
-    ``probes`` once capped the further cells and no longer has any effect.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths don't link; null ids keep their rows with null results; repeated ids are one vertex; an
     empty table gives an empty result; other columns are ignored.
@@ -146,17 +163,17 @@ def near_duplicates(
     )
     models = {}
     lengths = nodes.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()
-    # eight blocks or more, of at most 8192 rows and about 2M components
-    step = min(8 * BLOCK, max(BLOCK, lengths[0]["n"] // 8), max(256, 2_000_000 // max(r["d"] for r in lengths))) if lengths else BLOCK
+    # eight blocks or more where there are rows enough, of at most 8192 rows and about 2M components
+    step = min(8 * BLOCK, max(256, lengths[0]["n"] // 8), max(256, 2_000_000 // max(r["d"] for r in lengths))) if lengths else BLOCK
     for r in lengths:
         k = min(most_cells, -(-r["n"] // cell_rows))
         if k > 1:
-            take = max(k, min(sample_rows, 64_000_000 // (8 * r["d"])))
+            take = min(max(k, sample_rows), max(k, 64_000_000 // (8 * r["d"])))
             got = nodes.where(F.size("_v") == r["d"]).orderBy(F.xxhash64("_a"), "_node").limit(take).select("_v").toArrow()
             x = np.asarray(got.column("_v").combine_chunks().flatten()).reshape(-1, r["d"])
-            c = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
-            areas = min(len(c), -(-r["n"] // max(cell_rows, min(8 * cell_rows, r["n"] // 8))))
-            models[r["d"]] = c, np.unique((c @ spherical_kmeans(c, areas).T).argmax(1), return_inverse=True)[1]
+            c = grown_cells(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
+            areas = min(len(c), -(-r["n"] // min(8 * BLOCK, max(cell_rows, r["n"] // 8))))
+            models[r["d"]] = c, np.unique((c @ grown_cells(c, areas).T).argmax(1), return_inverse=True)[1]
     listed = materialize(
         nodes.select("_node", "_copies", "_v").mapInArrow(
             _assign(spark.sparkContext.broadcast(models), cosine), "_node long, _copies long, _v array<double>, _areas array<long>"
