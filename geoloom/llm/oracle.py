@@ -7,7 +7,7 @@ the libraries and brute-force versions.
 
 from __future__ import annotations
 
-from .licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .licenses import COPYRIGHT_LINE, DIGESTS, KNOWN, SPELLINGS, STEM
 
 
 def _quote(s: str) -> str:
@@ -16,20 +16,22 @@ def _quote(s: str) -> str:
 
 def _canonical(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), {_quote(COPYRIGHT_LINE)}, ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    out = f"' ' || replace(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' '"
     for pattern, word in SPELLINGS:
+        old, new = (f" {x.replace(' ', '  ')} " for x in (pattern, word))
         if set(pattern) & set("?(["):
-            out = f"regexp_replace({out}, {_quote(f' {pattern} ')}, {_quote(f' {word} '.replace('$1', chr(92) + '1'))}, 'g')"
+            out = f"regexp_replace({out}, {_quote(old)}, {_quote(new.replace('$1', chr(92) + '1'))}, 'g')"
         else:
-            out = f"replace({out}, {_quote(f' {pattern} ')}, {_quote(f' {word} ')})"
-    return f"trim({out})"
+            out = f"replace({out}, {_quote(old)}, {_quote(new)})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 _OP3 = f"""
-with known as (select distinct md5({_canonical('t')}) digest, license from (values {', '.join(f'({_quote(t)}, {_quote(i)})' for i, t in KNOWN)}) v(t, license)),
+with known as (select distinct md5({_canonical('t')}) digest, license from (values {', '.join(f'({_quote(t)}, {_quote(i)})' for i, t in KNOWN)}) v(t, license)
+ union select digest, license from (values {', '.join(f'({_quote(d)}, {_quote(i)})' for i, d in DIGESTS)}) v(digest, license)),
 lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
 hits as (select distinct doc_id, license from lines join known on digest = md5({_canonical('line')})
- where regexp_matches(lower(line), 'licen[cs]e|permission|redistribution|copyright|warranty')),
+ where regexp_matches(lower(line), {_quote(STEM)})),
 listed as (select doc_id, string_agg(license, ',' order by license) line_licenses from hits group by doc_id)
 select d.doc_id, md5({_canonical('d.text')}) text_digest, k.license, coalesce(l.line_licenses, '') line_licenses
 from documents d left join known k on k.digest = md5({_canonical('d.text')}) left join listed l on l.doc_id = d.doc_id
