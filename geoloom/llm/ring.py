@@ -68,9 +68,9 @@ def shard_bounded(
     A key's place on the ring is a hash of the key; the ring's fixed slices merge into at most ``shards *
     virtual_nodes`` arcs.  Loads are bounded by floor or ceiling of rows / shards, and an arc's ranks beyond a
     full shard continue clockwise to the next shard with room.  The driver sees one count per arc and nothing
-    else.  Ranks within an arc come from fine buckets of about ``bucket_rows`` rows, whose number grows with the
-    input; equal rows are counted before they are dealt and unfolded afterwards, so one key or copy that makes
-    up a third of the rows stays one small row on the way.  ``slot`` numbers a shard's rows from 0 without gaps.
+    else.  Ranks within an arc are clockwise; they come from fine slices of about ``bucket_rows`` rows, whose number grows
+    with the input.  A slice that one key fills is dealt on by a hash of the row, and equal rows are counted before they
+    are dealt and unfolded afterwards, so one key or copy that makes up a third of the rows lands in no single task.  ``slot`` numbers a shard's rows from 0 without gaps.
     Size is the UTF-8 bytes of the text plus 1, null text being empty (size 1, CRC 0).  Null keys share one
     place; repeated rows get slots of their own; an empty table gives an empty result; other columns are ignored.
     """
@@ -105,15 +105,24 @@ def shard_bounded(
         plan.append((a, low, high, s, filled[s]))
         filled[s] += high - low
     segments = F.broadcast(spark.createDataFrame(plan, SEGMENT))  # a fixed bound: arcs times shards
-    fine = max(1, -(-total // bucket_rows))
-    folded = folded.withColumn("_bucket", F.pmod(F.xxhash64("_place", F.lit(7)), F.lit(fine)))
-    tally = folded.groupBy("_arc", "_bucket").agg(F.sum("_copies").alias("_n"))
-    before = Window.partitionBy("_arc").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tally.select("_arc", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_arc", "_bucket").orderBy("_place", "_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # finer slices of the ring, in clockwise order; how fine they are changes no rank
+    more = max(0, min(30, (-(-total // (bucket_rows << bits)) - 1).bit_length()))
+    folded = folded.withColumn("_slice", F.shiftrightunsigned("_place", 64 - bits - more))
+    # one key may fill a slice with rows of many texts: such a slice is dealt on by a hash of the whole row
+    folded = folded.withColumn("_mark", F.xxhash64("_place", "size", "text_crc32"))
+    full = folded.groupBy("_arc", "_slice").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 4 * bucket_rows)
+    full = full.select("_arc", "_slice", F.ceil(F.log2(F.col("_rows") / bucket_rows)).cast("int").alias("_deep"))
+    folded = folded.join(full, ["_arc", "_slice"], "left").withColumn(
+        "_part", F.when(F.col("_deep").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_mark, 64 - _deep)"))
+    )
+    bucket = ["_arc", "_slice", "_part"]
+    tally = folded.groupBy(*bucket).agg(F.sum("_copies").alias("_n"))
+    before = Window.partitionBy("_arc").orderBy("_slice", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tally.select(*bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*bucket).orderBy("_place", "_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         folded.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-        .join(offsets, ["_arc", "_bucket"])
+        .join(offsets, bucket)
         .withColumn("_from", F.col("_offset") + F.col("_before"))
     )
     #: Copies unfold in chunks, so that no array is long.
