@@ -48,7 +48,7 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select(
-        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"),
+        "doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
         (F.col("toxicity") >= toxicity.threshold_column(model, F.col("lang"))).alias("rejected"),
     )

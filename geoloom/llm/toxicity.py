@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     """Train on a bounded sample of the labelled rows whose ``crc32(id) % 4`` isn't 2.
 
     The sample is the rows with the smallest hash of their id, up to ``positives`` and ``negatives``; its ids are
-    few enough to broadcast, so no text is shuffled.  A fifth of it is held back to calibrate the thresholds.
+    few enough to broadcast, so only its own texts are shuffled.  Rows that share an id give one text, the least.  A fifth of it is held back to calibrate the thresholds on a first model;
+    the model that scores is trained on all of it.
     """
     usable = (
         labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1))
@@ -243,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang"))
         .where(F.length("_text") <= settings.longest)
         .join(F.broadcast(picked), "_id")
-        .select("_id", "_y", "_lang", "_text").toArrow()
+        # an id that repeats gives one text, however often it does
+        .groupBy("_id", "_y").agg(F.min(F.struct("_text", "_lang")).alias("_t"))
+        .select("_id", "_y", "_t._lang", "_t._text").toArrow()
     )
     order = np.argsort([xxhash.xxh3_64_intdigest(f"{i}") for i in sample.column("_id").to_pylist()], kind="stable")
     texts, langs = sample.column("_text").to_pylist(), sample.column("_lang").to_pylist()
@@ -255,9 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
         d, n_f = settings.size, settings.filters * len(settings.widths)  # nothing to learn: every score is the base rate
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Model(settings, np.zeros((settings.buckets, d), np.float32), [np.zeros((w, d, settings.filters), np.float32) for w in settings.widths], np.zeros(n_f, np.float32), np.zeros(n_f, np.float32), float(np.log(rate / (1 - rate))))
-    model = train(texts[back:], y[back:], settings)
-    scores = score_texts(model, Lexicon(model.table), texts[:back])
-    model.thresholds = calibrate(scores, y[:back], langs[:back])
+    first = train(texts[back:], y[back:], settings)
+    thresholds = calibrate(score_texts(first, Lexicon(first.table), texts[:back]), y[:back], langs[:back])
+    del first
+    model = train(texts, y, settings)  # the fifth held back for the thresholds counts too: languages have few examples
+    model.thresholds = thresholds
     return model
 
 
