@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -76,18 +77,25 @@ class Pieces:
 
 LETTER = "[^\\W\\d_²³¹¼½¾]"
 CROSSED = re.compile(f"{LETTER}(?!{SPACE}|{LETTER})[^\\n]|(?!{SPACE}|{LETTER})[^\\n]{LETTER}")
-WORDS = re.compile(f"\\n|{SPACE}?{LETTER}+|{SPACE}?(?:(?!{LETTER})[^{SPACE}\\n])+|{SPACE}")
+WORDS = re.compile(f"\\n|{SPACE}*{LETTER}+|{SPACE}*(?:(?!{LETTER})[^{SPACE}\\n])+|{SPACE}+")
 #: The same for texts of these characters, whose letters are quickly told.
 LATIN = re.compile("[\\t\\n -~À-ÿ]*")
 LATIN_WORDS = re.compile(WORDS.pattern.replace(LETTER, "[A-Za-zÀ-ÖØ-öø-ÿ]"))
-SPACED = re.compile(f"\\n|{SPACE}?[^{SPACE}\\n]+|{SPACE}")
+SPACED = re.compile(f"\\n|{SPACE}*[^{SPACE}\\n]+|{SPACE}+")
+LONGEST = 4096  # characters of a chunk
 
 
 def chunks_of(text: str, pattern: re.Pattern = SPACED) -> list[str]:
-    """Stretches that no piece crosses, in order; the space in front of a word belongs to it, and the text gets one too."""
+    """Stretches that no piece crosses, in order; spaces in front of a word belong to it, and the text gets one too.
+
+    A stretch of more than ``LONGEST`` characters is cut every so many, so that no lattice is larger.
+    """
     if pattern is WORDS and LATIN.fullmatch(text):
         pattern = LATIN_WORDS
-    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    found = pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    if len(text) < LONGEST or max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [c[at : at + LONGEST] for c in found for at in range(0, len(c), LONGEST)]
 
 
 class Lattices:
@@ -103,6 +111,8 @@ class Lattices:
         self.cum, self.logp = np.empty(room), np.empty(room, np.float32)
         self.next, self.piece = np.empty(room, np.int32), np.empty(room, np.int32)
         self.final, self.first = np.zeros(room, bool), np.zeros(room, np.int32)
+        #: For each node the log of what its edges but a likely one (above 0.5) have in all, exact however little that is.
+        self.others = np.full(room, NONE, np.float32)
         self.reset()
 
     def reset(self) -> None:
@@ -110,7 +120,7 @@ class Lattices:
         self.nodes, self.edges = 0, 0
 
     def _grow(self, edges: int, nodes: int) -> None:
-        for names, size in ((("cum", "logp", "next", "piece"), edges), (("final", "first"), nodes)):
+        for names, size in ((("cum", "logp", "next", "piece"), edges), (("final", "first", "others"), nodes)):
             for name in names:
                 a = getattr(self, name)
                 if size > len(a):
@@ -176,6 +186,9 @@ class Lattices:
         within[np.concatenate([heads[1:] - 1, [len(src) - 1]])] = 1.0
         n, m = self.edges + len(src), self.nodes + total
         self._grow(n, m)
+        with np.errstate(divide="ignore"):
+            unlikely = np.log(np.add.reduceat(np.where(prob > 0.5, 0.0, prob), heads))
+        self.others[self.nodes + at[src[heads]]] = np.maximum(unlikely, NONE)
         new = slice(self.edges, n)
         self.cum[new] = at[src] + self.nodes + np.minimum(within, 1.0)
         self.logp[new], self.next[new], self.piece[new] = np.minimum(cond, 0), dst + self.nodes, ids
@@ -187,9 +200,15 @@ class Lattices:
         self.nodes, self.edges = m, n
 
     def nodes_of(self, chunks: list[str]) -> np.ndarray:
-        new = set(chunks).difference(self.start)
-        if new:
-            self.add(list(new))
+        part, size = [], 0
+        for c in set(chunks).difference(self.start):
+            part.append(c)
+            size += len(c)
+            if size > 200_000:  # what a step of building holds besides the store
+                self.add(part)
+                part, size = [], 0
+        if part:
+            self.add(part)
         return np.fromiter(map(self.start.__getitem__, chunks), np.int32, len(chunks))
 
 
@@ -233,11 +252,12 @@ def gumbel_below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarr
     return np.where(np.isfinite(mass), np.minimum(out, bound), NONE)
 
 
-def log_rest(p: np.ndarray) -> np.ndarray:
-    """log(1 - p), with what rounding leaves of 1 - p taken as nothing."""
-    rest = 1 - p
-    with np.errstate(divide="ignore"):
-        return np.where(rest > 1e-6, np.log(np.maximum(rest, 1e-300)), NONE)
+def log_rest(lat: Lattices, edges: np.ndarray) -> np.ndarray:
+    """Log of the probability that a node's other edges have; for likely edges from their own sum, not from 1 - p."""
+    p = np.exp(lat.logp[edges].astype(np.float64))
+    node = np.ceil(lat.cum[edges]).astype(np.int64) - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0.5, lat.others[node].astype(np.float64), np.log1p(-np.minimum(p, 0.5)))
 
 
 def log_inclusion(logp: float, bar: float) -> float:
@@ -277,7 +297,7 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
         top = -np.log(-np.log(uniform(base + U(77))))
         before = np.cumsum(logs) - logs
         begin = np.where(cuts[:-1] < len(before), before[np.minimum(cuts[:-1], max(0, len(before) - 1))], 0) if len(before) else np.zeros(len(texts))
-        mass = before - begin[of] + log_rest(np.exp(logs))
+        mass = before - begin[of] + log_rest(lat, edges)
         draws = uniform(base[of] + (np.arange(len(of)) - cuts[:-1][of] + 1).astype(np.uint64) * U(0xA24BAED4963EE407)) if len(of) else logs
         values = gumbel_below(mass, top[of], draws)
     first_of = np.cumsum(counts) - counts
@@ -301,7 +321,8 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
             value = float(best.regions[j])
             best.regions[j] = NONE
             banned = best.banned.get(j, ()) + (int(best.edges[j]),)
-            at = int(np.ceil(lat.cum[best.edges[j]])) - 1
+            inner = j > 0 and best.chunk[j - 1] == best.chunk[j]
+            at = int(lat.next[best.edges[j - 1]] if inner else node[first_of[d] + best.chunk[j]])
             first = last = int(lat.first[at])
             while True:
                 if lat.cum[last] >= at + 1.0:
@@ -316,18 +337,20 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
             e = min(e, last)
             while e - first > 0 and p[e - first] == 0:
                 e -= 1
+            p[e - first] = 0
+            left = math.log(p.sum()) if p.any() else NONE
             c = int(best.chunk[j])
             rest = node[first_of[d] + c + 1 : first_of[d] + counts[d]]
             starts.append(np.concatenate([[lat.next[e]], rest]).astype(np.int32))
             with np.errstate(over="ignore"):
                 start_keys.append(mix(base[d] + (np.arange(c, counts[d], dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15) + U((number << 48) % 2**64)))
-            plans.append((d, best, j, e, c, value, banned))
+            plans.append((d, best, j, e, c, value, banned, left))
         if not plans:
             break
         who, edges = walk(lat, np.concatenate(starts), np.concatenate(start_keys))
         offs = np.cumsum([0, *(len(x) for x in starts)])
         cuts = np.searchsorted(who, offs)
-        for i, (d, parent, j, e, c, value, banned) in enumerate(plans):
+        for i, (d, parent, j, e, c, value, banned, left) in enumerate(plans):
             lo, hi = cuts[i], cuts[i + 1]
             s = Sampled()
             s.edges = np.concatenate([parent.edges[:j], [e], edges[lo:hi]])
@@ -335,8 +358,8 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
             s.logs = lat.logp[s.edges].astype(np.float64)
             s.value, s.since, s.banned = value, j, {j: banned}
             before = np.cumsum(s.logs) - s.logs
-            rest = log_rest(np.exp(s.logs))
-            rest[j] = log_rest(np.exp(lat.logp[[*banned, e]].astype(np.float64)).sum()[None])[0]
+            rest = log_rest(lat, s.edges)
+            rest[j] = left
             mass = before + rest
             mass[:j] = NONE
             with np.errstate(over="ignore"):
