@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 
 from .held import slices
 from .storage import exists, new_path
-from .wordbpe import encoder, tokenizer_version
+from .wordbpe import drops_white_space, encoder, tokenizer_version
 
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def content_digest(text):
-    """128 bits of SHA-256 over the normalised content: runs of ASCII white space are one space, none at the ends.
-
-    The tokenizers this serves drop white space, so texts with one digest have one token count.
-    """
-    return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")), 256), 1, 32))
+def content_digest(text, spaced: bool = False):
+    """128 bits of SHA-256 over the content.  Unless ``spaced``, that is normalised: runs of ASCII white space are one
+    space, none at the ends, which is right for tokenizers that drop white space."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.unhex(F.substring(F.sha2(whole if spaced else F.trim(F.regexp_replace(whole, SPACES, " ")), 256), 1, 32))
 
 
 def _encode(path: str):
@@ -39,7 +38,8 @@ def count_tokens(
 ) -> DataFrame:
     """``docs`` -> ``(id, n_bytes, n_tokens)``; counts of unseen contents are appended to the cache.
 
-    The cache holds ``(_digest, _n)`` in one folder for each tokenizer version.  Distinct digests are found by a
+    The cache holds ``(_digest, _n)`` in one folder for each tokenizer version; digests are of the exact content where
+    the tokenizer heeds white space.  Distinct digests are found by a
     pre-aggregated group-by, joined against the cache, and only the misses' texts are encoded: one stored row
     stands for all copies, so a text that makes up a third of the rows is encoded once.  The last join is a
     plain equi-join, whose hot digests adaptive execution splits.  Null text counts as empty (0 bytes, 0
@@ -48,7 +48,9 @@ def count_tokens(
     spark = docs.sparkSession
     home = f"{cache_path or new_path(spark, 'token-cache')}/{tokenizer_version(tokenizer_path)}"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    keyed = rows.withColumn("_digest", content_digest(F.col("_text")))
+    spaced = not drops_white_space(tokenizer_path)
+    home += "-spaced" * spaced
+    keyed = rows.withColumn("_digest", content_digest(F.col("_text"), spaced))
     kept_ids = F.coalesce(F.xxhash64("_id"), F.lit(0))
     wanted = keyed.groupBy("_digest").agg(F.min(kept_ids).alias("_at"))
     stored = _cache(spark, home)
@@ -60,9 +62,8 @@ def count_tokens(
         .select("_digest", "_text")
     )
     misses.mapInArrow(_encode(tokenizer_path), "_digest binary, _n long").write.mode("append").parquet(home)
-    counts = _cache(spark, home)
-    if counts.groupBy("_digest").agg(F.count("*").alias("_k")).where("_k > 1").take(1):
-        counts = counts.groupBy("_digest").agg(F.max("_n").alias("_n"))  # rows that are repeated whole were stored twice
+    # rows that are repeated whole are stored twice; the join needs the same dealing by digest
+    counts = _cache(spark, home).groupBy("_digest").agg(F.max("_n").alias("_n"))
     sized = keyed.select("_id", F.octet_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n_bytes"), "_digest")
     return sized.join(counts, "_digest").select(F.col("_id").alias(id_col), "n_bytes", F.col("_n").alias("n_tokens"))
 

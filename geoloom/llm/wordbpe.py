@@ -29,6 +29,20 @@ LATIN = re.compile("[\t\n -~À-ÿ]+")
 WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 
 
+def _stands_alone(spec: dict) -> bool:
+    """Whether space-separated chunks have ids of their own: white space is dropped and no special token can reach across a space."""
+    kinds = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return kinds[:1] == ["Split"] and spec.get("post_processor") is None and not any(
+        " " in m["content"] or m["lstrip"] or m["rstrip"] or m["single_word"] for m in spec.get("added_tokens") or []
+    )
+
+
+def drops_white_space(path: str) -> bool:
+    """Whether runs of white space make no difference to the ids that the tokenizer file gives."""
+    with open(path, encoding="utf-8") as f:
+        return _stands_alone(json.load(f))
+
+
 class WordEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without added special tokens.
 
@@ -43,12 +57,7 @@ class WordEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        marks = spec.get("added_tokens") or []
-        kinds = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        #: Chunks stand alone only if white space is dropped and no special token can reach across a space.
-        self.chunked = kinds[:1] == ["Split"] and spec.get("post_processor") is None and not any(
-            " " in m["content"] or m["lstrip"] or m["rstrip"] or m["single_word"] for m in marks
-        )
+        self.chunked = _stands_alone(spec)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
