@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on small tables, and on edge cases."""
 
+import pathlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,15 +89,59 @@ def test_ring(spark, sf, edges):
     assert ring.shard_bounded(edges.limit(0)).count() == 0
 
 
-def test_ring_moves_little():
-    counts = np.random.default_rng(1).multinomial(100_000, [1 / 900] * 900).tolist()
-    owners, grown = ([i % n for i in np.random.default_rng(2).integers(0, 10**6, 900)] for n in (16, 17))
-    for own, n in ((owners, 16), (grown, 17)):
-        plan = ring.plan_bounded(counts, own, [100_000 // n + (s < 100_000 % n) for s in range(n)])
-        assert sum(h - l for _, l, h, _ in plan) == 100_000
-    a, b = ring.ring_arcs(16, 64), ring.ring_arcs(17, 64)
-    moved = [(x, y) for x, y in zip(a, b) if x != y]
-    assert all(y == 16 for _, y in moved) and len(moved) < 0.1 * len(a)
+def brute_ring(places, shards, virtual_nodes=64, bits=14):
+    """Shard of every row by walking the ring: rows in clockwise order of unsigned place, full shards passed over.
+
+    Round by round, what is left of an arc asks the next distinct shard clockwise of it.
+    """
+    owners = ring.ring_arcs(shards, virtual_nodes, bits)
+    fresh = [i == 0 or o != owners[i - 1] for i, o in enumerate(owners)]
+    arcs, of_slice = [o for o, f in zip(owners, fresh) if f], (np.cumsum(fresh) - 1).tolist()
+    order = sorted(range(len(places)), key=lambda i: places[i] % 2**64)
+    waiting = defaultdict(list)
+    for i in order:
+        waiting[of_slice[(places[i] % 2**64) >> (64 - bits)]].append(i)
+    room = [len(places) // shards + (s < len(places) % shards) for s in range(shards)]
+    asked = {a: list(dict.fromkeys(arcs[a:] + arcs[:a])) for a in waiting}
+    out = {}
+    for r in range(shards):
+        for a in sorted(waiting):
+            s = asked[a][r] if r < len(asked[a]) else None
+            while s is not None and waiting[a] and room[s]:
+                out[waiting[a].pop(0)] = s
+                room[s] -= 1
+    return out
+
+
+def places_of(spark, ids):
+    return [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("xxhash64(string(i), 'ring')").collect()]
+
+
+@pytest.mark.parametrize("shards", [16, 17])
+def test_ring_places_keys_as_brute_force_does(spark, shards):
+    ids = [7 * i * i for i in range(4000)]
+    d = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in ring.shard_bounded(d, shards=shards, bucket_rows=13).collect()}
+    want = brute_ring(places_of(spark, ids), shards)
+    assert got == {i: want[n] for n, i in enumerate(ids)}
+
+
+def test_ring_moves_little(spark):
+    """One more shard, and a hundredth more rows: how many of the old rows go to another shard, bounds included."""
+    made = lambda n: spark.range(n).selectExpr("id * 31 as doc_id", "'x' as text")
+    at = lambda n, shards: {r["doc_id"]: r["shard"] for r in ring.shard_bounded(made(n), shards=shards).select("doc_id", "shard").collect()}
+    few, many, grown = at(20_000, 16), at(20_200, 16), at(20_000, 17)
+    assert sum(many[i] != s for i, s in few.items()) < 0.01 * 20_000
+    moved = [(s, grown[i]) for i, s in few.items() if grown[i] != s]
+    assert 20_000 // 17 <= len(moved) < 0.12 * 20_000
+
+
+def test_ring_deals_one_key_on(spark):
+    """A key (no id at all) with many texts is dealt on within its slice; counts and slots stay right."""
+    d = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "string(id) as text")
+    got = ring.shard_bounded(d, bucket_rows=20).toPandas()
+    assert got.groupby("shard").size().between(187, 188).all() and len(got) == 3000
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
 def test_licenses(spark, sf, edges):
@@ -110,6 +156,52 @@ def test_licenses(spark, sf, edges):
         assert held <= set(r["line_licenses"]) and r["license"] is None
 
 
+@pytest.mark.parametrize("name", sorted({i for i, t in licenses.KNOWN if len(t) > 400}))
+def test_licenses_wrapped_at_any_width(spark, name):
+    """A known text is found however its lines are wrapped."""
+    texts = [t.replace("<year>", "2020").replace("<holder>", "Some Body") for i, t in licenses.KNOWN if i == name and len(t) > 400]
+    wrap = lambda t, w: "\n".join(textwrap.fill(p, w, break_on_hyphens=False) for p in t.split("\n"))
+    d = spark.createDataFrame([(w, wrap(t, w)) for t in texts for w in range(30, 121)], "doc_id long, text string")
+    assert {r["license"] for r in licenses.scan_licenses(d).collect()} == {name}
+
+
+def test_long_licenses(spark):
+    """Long texts are known by digest; spellings next to each other are unified; more texts can be given."""
+    home = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(i, (home / f).read_text()) for f, i in names.items() if (home / f).exists()]
+    d = spark.createDataFrame([*rows, ("X", "Licence licence\nper cent per cent")], "doc_id string, text string")
+    got = licenses.scan_licenses(d, more=[("X", "license LICENSE percent percent")])
+    assert all(r["license"] == r["doc_id"] for r in got.collect())
+
+
+def test_toxicity_of_held_out_positives(spark):
+    """Of labelled rows that training may not see: most toxic ones are found in every language, clean ones are left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs_, labels = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs_, labels)
+    held = labels.where("pmod(crc32(cast(doc_id as string)), 4) = 2 and toxic is not null").select("doc_id", "toxic")
+    got = toxicity.score(docs_.join(held, "doc_id"), model).select("lang", "toxic", "toxicity").toPandas()
+    assert (got.toxic == 1).sum() >= 20
+    for lang, g in got.groupby("lang"):
+        bad = g[g.toxic == 1]
+        assert len(bad) < 5 or (bad.toxicity >= 0.3).mean() >= 0.8, lang
+        assert (g[g.toxic == 0].toxicity < 0.3).mean() >= 0.9, lang
+
+
+def test_toxicity_repeated_ids(spark):
+    """An id that repeats brings one text to the training sample."""
+    d = spark.range(2000).selectExpr("id % 2 as doc_id", "concat('word', id % 2) as text", "'en' as lang")
+    y = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    seen = []
+    held, toxicity.train = toxicity.train, lambda texts, *a: seen.append(list(texts)) or held(texts, *a)
+    try:
+        toxicity.fit(d, y, toxicity.Settings(buckets=256, steps=1, epochs=1))
+    finally:
+        toxicity.train = held
+    assert all(len(t) <= 2 for t in seen)
+
+
 def test_toxicity(spark, edges):
     sf = "/root/testdata/sf0.01"
     got = queries.op4_toxicity_cnn(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
@@ -153,6 +245,47 @@ def test_segments(spark, sf, edges):
     assert segment.sample_segmentations(edges.limit(0), SENTENCES).count() == 0
 
 
+def test_segments_decode_with_library():
+    """The library that wrote the model file reads the sampled ids as the text."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SENTENCES)
+    lat = segment.Lattices(segment.Pieces(SENTENCES))
+    texts = ["the cat  sat on   the mat.", "Größe und\nStraße", "x", "1234 abc,,, def", "中文 text"]
+    for t, found in zip(texts, segment.sample_texts(lat, texts, [1, 2, 3, 4, 5], 3)):
+        assert all(sp.decode([int(i) for i in ids]) == t for ids, *_ in found)
+    own = [sp.piece_to_id(x) for x in sp.encode("a  b", out_type=str)]
+    assert {len(segment.chunks_of("a  b")), len(segment.chunks_of("a   b"))} == {2} and len(own) > 0
+
+
+def test_segments_of_long_unspaced_texts():
+    """A text without spaces is cut into lattices of bounded size, whole."""
+    lat = segment.Lattices(segment.Pieces(SENTENCES), limit=1_000_000)
+    text = "".join(chr(97 + x) for x in np.random.default_rng(0).integers(0, 26, 300_000))
+    assert max(map(len, segment.chunks_of(text, lat.pieces.pattern))) <= segment.LONGEST
+    (one, two), = segment.sample_texts(lat, [text], [9], 2)
+    assert lat.pieces.decode(one[0]) == text == lat.pieces.decode(two[0]) and one[0].tolist() != two[0].tolist()
+
+
+def test_segments_with_one_likely_piece():
+    """Regions of little mass count: a text whose best piece has nearly all mass still gives all it has."""
+    lat = segment.Lattices(segment.Pieces(SENTENCES))
+    full = segment.sample_texts(lat, ["the"], [5], 10_000)[0]
+    chunks = segment.chunks_of("the", lat.pieces.pattern)
+    ways = [1] + [0] * len(chunks[0])
+    for i in range(len(chunks[0])):
+        for n in range(1, len(chunks[0]) - i + 1):
+            ways[i + n] += ways[i] * (chunks[0][i : i + n] in PIECES())
+    assert len(full) == ways[-1] == len({tuple(x[0]) for x in full})
+
+
+def PIECES():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SENTENCES)
+    return {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+
+
 def test_segments_follow_the_law_without_replacement():
     lat = segment.Lattices(segment.Pieces(SENTENCES))
     full = segment.sample_texts(lat, ["the"], [1], 99)[0]
@@ -234,6 +367,47 @@ def test_jaccard(spark, sf, edges, width, percent):
     assert jaccard.jaccard_components(edges.limit(0)).count() == 0
 
 
+def test_jaccard_hot_groups(spark):
+    """Hundreds of near copies and texts half way between two groups, over many blocks: no link is lost."""
+    rng = np.random.default_rng(12)
+    bases = [[f"w{i}" for i in range(150)], [f"w{i}" for i in range(8)] + [f"v{i}" for i in range(142)]]
+    made = []
+    for i in range(500):
+        words = list(bases[i % 5 == 4])
+        for at in rng.integers(0, 150, rng.integers(0, 9)):
+            words[at] = f"x{rng.integers(0, 40)}"
+        made.append((i, " ".join(words[: 150 - i % 7])))
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    sets = [shingles(t, 5) for _, t in made]
+    links = [(i, j) for i in range(500) for j in range(i + 1, 500) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = roots(links, range(500))
+    assert 40 < len(set(want.values())) < 400
+    held = jaccard.BLOCK_SETS
+    try:
+        for jaccard.BLOCK_SETS in (held, 16):
+            got = jaccard.jaccard_components(d).toPandas()
+            assert dict(zip(got.doc_id, got.component_id)) == want
+    finally:
+        jaccard.BLOCK_SETS = held
+
+
+def test_linked_pairs_sum_fragments(spark):
+    """Overlaps of fragments add up to the overlap of the sets."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in (3, 5, 40, 200, 200)] + ["a b c"] * 2
+    texts[4] = texts[3] + " end"
+    sets = [jaccard.shingle_hashes(t, 3) for t in texts]
+    got = {r["_node"]: r["_parts"] for r in spark.createDataFrame([(t,) for t in texts], "t string").mapInArrow(jaccard._arrays(3), "_node long, _parts array<array<long>>").collect()}
+    for h in sets:
+        parts = got[jaccard.node_of(h)]
+        assert len(parts) == jaccard.PARTS and [x for p in parts for x in p] == h.view(np.int64).tolist()
+    arrays = spark.createDataFrame(list(got.items()), "_node long, _parts array<array<long>>")
+    pairs = [(jaccard.node_of(a), jaccard.node_of(b), len(a), len(b)) for a in sets for b in sets if jaccard.node_of(b) < jaccard.node_of(a)]
+    want = {(u, v) for u, v, x, y in pairs if 100 * (o := len(set(sum(got[u], [])) & set(sum(got[v], [])))) >= 90 * (x + y - o)}
+    found = jaccard.linked_pairs(spark.createDataFrame(pairs, "u long, v long, nu long, nv long").distinct(), arrays, 90)
+    assert {(r["u"], r["v"]) for r in found.collect()} == want and want
+
+
 def test_fragments_lose_no_link():
     for percent in (90, 80):
         for n in range(1, 300):
@@ -271,6 +445,54 @@ def test_top_k(spark):
     assert vafile.top_k(d.limit(0), every=50).count() == 0
 
 
+def test_top_k_reads_few_exact_vectors(spark):
+    """Bounds alone leave a small part of all pairs to be read exactly, over several passes of queries too."""
+    x = np.random.default_rng(8).normal(size=(4000, 32)).astype(np.float32)
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    seen = []
+    held, room = vafile.survivors, vafile.CHUNK_BYTES
+    vafile.survivors = lambda *a: seen.append(held(*a)) or seen[-1]
+    vafile.CHUNK_BYTES = 4000
+    try:
+        got = {tuple(r) for r in vafile.top_k(d, every=50, block=500, query_block=16).collect()}
+    finally:
+        vafile.survivors, vafile.CHUNK_BYTES = held, room
+    v = np.floor(256 * x.astype(float)).astype(int)
+    s = v[::50] @ v.T
+    s[np.arange(80), np.arange(0, 4000, 50)] = -(10**9)
+    want = {(50 * i, n, int(j), int(s[i, j])) for i in range(80) for n, j in enumerate(np.lexsort((np.arange(4000), -s[i]))[:5], 1)}
+    assert got == want
+    assert seen[0].count() < 0.02 * 80 * 4000
+
+
+def test_top_k_of_one_common_vector(spark):
+    """A third of all rows are one vector, some under one id: ties go to the smaller ids, and few rows are candidates."""
+    x = np.random.default_rng(4).normal(size=(3000, 8))
+    x[::3] = 2 * x[0]
+    ids = [i if i % 9 else 9 for i in range(3000)]
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x)], "vec_id long, embedding array<double>").repartition(2)
+    v = np.floor(256 * x).astype(int)
+    want = []
+    for q in sorted({i for i in ids if i % 50 == 0}):
+        found = sorted((-int(a @ b), j) for a in v[[n for n, i in enumerate(ids) if i == q]] for b, j in zip(v, ids) if j != q)[:5]
+        want += [(q, n, j, -s) for n, (s, j) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in vafile.top_k(d, every=50, block=1000).collect()) == want
+    kept = vafile._enough(np.ascontiguousarray(v), np.asarray(ids), 5)
+    assert len(kept) < 2100
+
+
+def test_top_k_odd_rows(spark):
+    """Repeated ids are one query; vectors whose products would leave 64 bits take no part."""
+    rows = [(0, [1.0, 0.5]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1e30, 0.0]), (3, [2.0, -1.0]), (50, [3e5, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows if i != 2]
+    want = []
+    for q in (0, 50):
+        found = sorted((-(a[0] * b[0] + a[1] * b[1]), j) for i, a in fine if i == q for j, b in fine if j != q)[:5]
+        want += [(q, n, j, -s) for n, (s, j) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in vafile.top_k(d, every=50).collect()) == sorted(want)
+
+
 def test_near_vectors(spark):
     rows, d = vectors(spark)
     ok = [(i, np.asarray(v, np.float32).astype(float)) for i, v in rows if i is not None and fair(v) and any(v)]
@@ -279,14 +501,15 @@ def test_near_vectors(spark):
     ids = [i for i, _ in rows if i is not None]
     top = roots(links, ids)
     for cell_rows in (10_000, 60):
-        got = neardup.near_duplicates(d, cell_rows=cell_rows, probes=64).dropna(subset=["vec_id"]).toPandas().set_index("vec_id")
+        got = neardup.near_duplicates(d, cell_rows=cell_rows).dropna(subset=["vec_id"]).toPandas().set_index("vec_id")
         assert len(got) == len(ids)
         for i in ids:
             assert (got.n_links[i], got.component_id[i], got.kept[i]) == (count[i], top[i], top[i] == i), i
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
-def test_near_vectors_recall(spark):
+@pytest.mark.parametrize("cell_rows", [128, 12, 3])  # some 50, 500 and 2000 cells
+def test_near_vectors_recall(spark, cell_rows):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -297,10 +520,24 @@ def test_near_vectors_recall(spark):
         c = rng.uniform(0.9, 1)
         x[3000 + i] = c * x[i] + np.sqrt(1 - c * c) * e
     d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = neardup.near_duplicates(d, cell_rows=128).toPandas()
-    s = x @ x.T >= 0.9
-    np.fill_diagonal(s, False)
-    assert got.n_links.sum() >= 0.9 * s.sum() and (got.set_index("vec_id").n_links.loc[range(6000)].to_numpy() <= s.sum(1)).all()
+    got = neardup.near_duplicates(d, cell_rows=cell_rows).toPandas().set_index("vec_id").n_links.loc[range(6000)].to_numpy()
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    sure = np.abs(s - 0.9) > 1e-12
+    assert ((s >= 0.9) & sure).sum() > 2900 and (got == (s >= 0.9).sum(1))[sure.all(1)].all()
+
+
+def test_grown_cells():
+    """Cells of cells: as many as asked for, in proportion to rows, and a nearest one for every row."""
+    x = np.random.default_rng(2).normal(size=(8000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neardup.grown_cells(x, 1000)
+    assert 900 <= len(c) <= 1100 and np.allclose(np.linalg.norm(c, axis=1), 1)
+    home, ok = neardup.cells_of(x[:500], c, 0.95)
+    assert ok[np.arange(500), home].all()
+    near = x[:500] @ x.T >= 0.95
+    other = (x @ c.T).argmax(1)
+    assert all(ok[i, other[near[i]]].all() for i in range(500))
 
 
 def brute_lines(rows, least):

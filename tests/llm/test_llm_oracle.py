@@ -60,3 +60,25 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in three.collect()} == {i for i, r in roots(links, ids).items() if i == r}
     four = pipeline.pack(spark, three, sf).toPandas()
     assert set(four.doc_id) == {r["doc_id"] for r in three.collect()} and (four.groupby("sequence_id").length.sum() <= 4096).all()
+
+
+def test_pipeline_stages_bear_odd_rows(spark, sf, edges):
+    """Nulls, ties, repeated rows, an empty table and clashing names: every stage keeps the columns it is given."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = edges.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'en', null) lang", "'s' source", "cast(length(text) as bigint) n_chars", "_id as toxicity", "_node as removed_lines", "_text as _row0", "_id as _aside0")
+    one = pipeline.drop_toxic(spark, base, sf)
+    assert one.columns == base.columns and one.exceptAll(base).count() == 0
+    two = pipeline.cut_repeated_lines(spark, base, sf)
+    assert two.columns == base.columns and two.count() == base.count()
+    assert {r["toxicity"] for r in two.collect()} == {1} and {r["removed_lines"] for r in two.collect()} == {"k"}
+    three = pipeline.one_of_each_group(spark, base, sf)
+    assert three.columns == base.columns and three.exceptAll(base).count() == 0
+    # 4 and 5 are the same word, 5 repeats; 6 and 7 the same letters; 8 and 9 the same text
+    assert sorted((r["doc_id"] or 0 for r in three.collect())) == [0, 1, 2, 3, 4, 6, 8, 10, 11]
+    assert {r["_row0"] for r in three.collect()} == {0.5}
+    four = pipeline.pack(spark, base, sf)
+    assert four.select("doc_id").distinct().count() == base.select("doc_id").distinct().count()
+    for stage in (pipeline.drop_toxic, pipeline.cut_repeated_lines, pipeline.one_of_each_group, pipeline.pack):
+        assert stage(spark, base.limit(0), sf).count() == 0
+    lone = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d e f"), (3, "a b c d e F"), (None, None), (None, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in pipeline.one_of_each_group(spark, lone, sf).where("text is not null").collect()] == [3]
