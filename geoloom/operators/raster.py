@@ -94,11 +94,16 @@ def color_statistics(pixels: DataFrame, bands: tuple[str, str, str] = ("b1", "b2
     return pixels.agg(*aggs)
 
 
+def _few(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A table with a row (or 256) for each value of ``by``: broadcast where that is a band at most, else as Spark sees fit."""
+    return F.broadcast(table) if set(by) <= {"band"} else table
+
+
 def normalize(pixels: DataFrame, low: float, high: float, v: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
     """Values stretched from their own range to [low, high]; NaN stays and doesn't count; no range, no change."""
     c = F.col(v)
     s = pixels.where(~F.isnan(c)).groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    joined = pixels.join(F.broadcast(s), list(by), "left") if by else pixels.crossJoin(F.broadcast(s))
+    joined = pixels.join(_few(s, by), list(by), "left") if by else pixels.crossJoin(F.broadcast(s))
     span = F.col("_hi") - F.col("_lo")
     out = F.when(F.isnan(c) | span.isNull() | (span == 0), c).otherwise((c - F.col("_lo")) / F.when(span == 0, 1.0).otherwise(span) * (high - low) + low)
     return joined.withColumn(v, out).drop("_lo", "_hi")
@@ -123,7 +128,7 @@ def focal(pixels: DataFrame, half: int, f: Callable[[np.ndarray], np.ndarray], b
     size = pixels.groupBy(*by).agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
     rows = pixels.select(*by, "y", "x", F.col("v").cast("double").alias("v"))
     dealt = _blocks(rows, half, by, block)
-    dealt = dealt.join(F.broadcast(size), list(by)) if by else dealt.crossJoin(F.broadcast(size))
+    dealt = dealt.join(_few(size, by), list(by)) if by else dealt.crossJoin(F.broadcast(size))
     kinds = {n: t for n, t in rows.dtypes}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "y int, x int, v double"])
 
@@ -237,7 +242,7 @@ def wallis(pixels: DataFrame, mean: float, std: float, c: float, b: float, windo
 def apply_lut(pixels: DataFrame, lut: DataFrame, by: tuple[str, ...] = ("band",)) -> DataFrame:
     """Values replaced by ``lut(by, bin, to)``, at most 256 rows a key; others stay."""
     table = lut.select(*by, F.col("bin").alias("_bin"), "to")
-    return pixels.withColumn("_bin", F.col("v").cast("int")).join(F.broadcast(table), [*by, "_bin"], "left").withColumn(
+    return pixels.withColumn("_bin", F.col("v").cast("int")).join(_few(table, by), [*by, "_bin"], "left").withColumn(
         "v", F.coalesce(F.col("to").cast("double"), "v")
     ).drop("_bin", "to")
 
@@ -272,7 +277,7 @@ def match_lut(source: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("b
     s = cumulative(byte_histogram(source, by), by).select(*by, "bin", "share")
     r = cumulative(dense(byte_histogram(reference, by), by), by).select(*by, F.col("bin").alias("to"), F.col("share").alias("_r"))
     best = F.min(F.struct(F.abs(F.col("share") - F.col("_r")).alias("d"), F.col("to")))
-    return s.join(F.broadcast(r), list(by)).groupBy(*by, "bin").agg(best.alias("b")).select(*by, "bin", F.col("b.to").alias("to"))
+    return s.join(_few(r, by), list(by)).groupBy(*by, "bin").agg(best.alias("b")).select(*by, "bin", F.col("b.to").alias("to"))
 
 
 def white_balance(pixels: DataFrame, bands: tuple[str, ...] = ("b1", "b2", "b3")) -> DataFrame:
@@ -292,7 +297,7 @@ def mean_std_match(pixels: DataFrame, target: DataFrame, strength: float = 1.0,
     both = own.join(target.select(*by, F.col("mean").alias("_tm"), F.col("stddev").alias("_ts")), list(by))
     ratio = F.when(F.col("_s") > 0, F.col("_ts") / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).otherwise(1.0)
     both = both.withColumn("_k", 1.0 + (ratio - 1.0) * strength).withColumn("_o", (F.col("_tm") - F.col("_m") * F.col("_k")) * strength)
-    return pixels.join(F.broadcast(both.select(*by, "_k", "_o")), list(by)).withColumn("v", to_byte(F.col("v") * F.col("_k") + F.col("_o")).cast("double")).drop("_k", "_o")
+    return pixels.join(_few(both.select(*by, "_k", "_o"), by), list(by)).withColumn("v", to_byte(F.col("v") * F.col("_k") + F.col("_o")).cast("double")).drop("_k", "_o")
 
 
 def moment_match(pixels: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("band",)) -> DataFrame:
@@ -308,7 +313,7 @@ def regression_balance(pixels: DataFrame, reference: DataFrame, x: int, y: int,
     hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     fit = fit.select(*by, hold(F.when(good, F.col("_a")).otherwise(1.0), 0.5, 2.0).alias("_a"), hold(F.when(good, F.col("_b")).otherwise(0.0), -50.0, 50.0).alias("_b"))
     out = F.col("v") * F.coalesce("_a", F.lit(1.0)) + F.coalesce("_b", F.lit(0.0))
-    return pixels.join(F.broadcast(fit), list(by), "left").withColumn("v", to_byte(out).cast("double")).drop("_a", "_b")
+    return pixels.join(_few(fit, by), list(by), "left").withColumn("v", to_byte(out).cast("double")).drop("_a", "_b")
 
 
 def _between_tiles(pixels: DataFrame, size: int, across: Column, down: Column) -> DataFrame:
@@ -322,11 +327,16 @@ def _between_tiles(pixels: DataFrame, size: int, across: Column, down: Column) -
 
 
 def _blend(table: DataFrame, pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Bilinear mixture ``_mix`` of a small table's values at the four tiles."""
-    out = pixels
-    for n, (ty, tx) in enumerate((("_y0", "_x0"), ("_y0", "_x1"), ("_y1", "_x0"), ("_y1", "_x1"))):
-        t = table.select(*keys, F.col("_ty").alias(ty), F.col("_tx").alias(tx), F.col(value).alias(f"_v{n}"))
-        out = out.join(t, [*keys, ty, tx], "left")
+    """Bilinear mixture ``_mix`` of a table's values at the four tiles; the table's corners meet first, so pixels are joined once."""
+    def corner(n: int, y: str, x: str) -> DataFrame:
+        return table.select(*keys, F.col("_ty").alias(y), F.col("_tx").alias(x), F.col(value).alias(f"_v{n}"))
+
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    quads = corner(0, "_y0", "_x0").withColumn("_dx", step).withColumn("_dy", step)
+    quads = quads.withColumns({"_x1": F.col("_x0") + F.col("_dx"), "_y1": F.col("_y0") + F.col("_dy")}).drop("_dx", "_dy")
+    for n, (ty, tx) in enumerate((("_y0", "_x1"), ("_y1", "_x0"), ("_y1", "_x1")), 1):
+        quads = quads.join(corner(n, ty, tx), [*keys, ty, tx])
+    out = pixels.join(quads, [*keys, "_y0", "_x0", "_y1", "_x1"], "left")
     top = F.col("_v0") * (1 - F.col("_wx")) + F.col("_v1") * F.col("_wx")
     low = F.col("_v2") * (1 - F.col("_wx")) + F.col("_v3") * F.col("_wx")
     return out.withColumn("_mix", top * (1 - F.col("_wy")) + low * F.col("_wy"))
