@@ -350,6 +350,7 @@ def _component_roots(sets: DataFrame, ties: DataFrame, rows: DataFrame, width: i
     most = Window.partitionBy("u").orderBy(F.desc("n"), "v")
     likely = ties.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= PROBES).select("u", "v")
     likely = likely.join(size("u", "nu"), "u").join(size("v", "nv"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    likely = materialize(likely, "likely-links")  # so that its size is known: narrow pairs go to the fragments while they are few
     links = linked_pairs(likely, arrays, percent)
     first = connected_components(links, "first-links")
     rest = _rest_links(ties, nodes, arrays, first, percent)
