@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ RARE_ORDERS = 3
 COLUMNS = 4096  # of the global order, counted together
 PARTS = 8  # fragments of the global order in which overlaps of a pair are counted apart; a power of two
 PROBES = 2  # likely links of a set that are looked at first
+SKETCH_BITS, MOST_BITS = 2, 1 << 24  # of a sketch: for each shingle, at least; and in all
 
 
 def size_class(n: int) -> int:
@@ -107,6 +108,24 @@ def node_of(h: np.ndarray) -> int | None:
     return int(mix(mix(h).sum(keepdims=True) + U(len(h))).view(np.int64)[0]) if len(h) else None
 
 
+def sketch_of(h: np.ndarray) -> bytes:
+    """For each of a power of two of fragments, by the low bits of the hashes, whether it holds an odd number of shingles.
+
+    A shingle that only one of two sets holds turns one bit, so the bits in which two sketches differ are at most as many
+    as the shingles in which the sets differ.  The two halves of a sketch, one XOR the other, are the sketch of half as many bits.
+    """
+    bits = min(MOST_BITS, 1 << max(6, (SKETCH_BITS * len(h) - 1).bit_length()))
+    return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as one of ``size`` bytes, which must be no more than it has."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _tally(width: int):
     """Counts of the shingles that at least three of some thousand texts hold."""
 
@@ -172,6 +191,21 @@ def _sets(width: int, percent: int, shared):
     return run
 
 
+def _sketches(width: int):
+    """Each text's node and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch):
+                    found = [shingle_hashes(t, width) for t in part.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([node_of(h) for h in found], pa.int64()), pa.array([sketch_of(h) for h in found], pa.binary())], ["_node", "_sketch"]
+                    )
+
+    return run
+
+
 def _arrays(width: int):
     """Each text's set cut along the global order into ``PARTS`` fragments."""
     edges = (np.arange(1, PARTS, dtype=np.uint64) << U(64 - PARTS.bit_length() + 1)).astype(np.uint64)
@@ -233,6 +267,47 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _may_link(percent: int):
+    """Those of pairs with the sketches ``_su`` and ``_sv`` whose sets may link.
+
+    Sets of s shingles together that differ in d link if (100 + percent) d <= (100 - percent) s, and d is at least the
+    number of bits in which their sketches differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, n in zip(batch.column("_su").to_pylist(), batch.column("_sv").to_pylist(), np.add(batch.column("nu"), batch.column("nv")), strict=True):
+                size = min(len(a), len(b))
+                apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+                keep.append((100 + percent) * apart <= (100 - percent) * n)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v", "nu", "nv"])
+
+    return run
+
+
+def _near(percent: int):
+    """The sets of two blocks that may link with one of the other block (or of the same, if it meets itself) and of another component."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("_node").reset_index(drop=True)
+        columns = ["_p", "_x", "_y", "_block", "_sub", "_node"]
+        size = min(map(len, frame["_sketch"]))
+        signs = np.unpackbits(np.stack([folded(x, size) for x in frame["_sketch"]]), axis=1).astype(np.float32) * 2 - 1
+        n, sub, first = frame["_n"].to_numpy(), frame["_sub"].to_numpy(), (frame["_block"] == frame["_x"]).to_numpy()
+        hit = np.zeros(len(frame), bool)
+        same = frame["_x"].iloc[0] == frame["_y"].iloc[0]
+        left, right = (np.arange(len(frame)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
+        if len(left) and len(right):
+            apart = (signs.shape[1] - signs[left] @ signs[right].T) / 2
+            near = ((100 + percent) * apart <= (100 - percent) * (n[left][:, None] + n[right])) & (sub[left][:, None] != sub[right])
+            hit[left[near.any(1)]] = True
+            hit[right[near.any(0)]] = True
+        return frame.loc[hit, columns]
+
+    return run
+
+
 def _links(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("_node")
@@ -306,12 +381,13 @@ def _open_pairs(dealt: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return met.withColumn("_block", F.explode(F.array_distinct(F.array("_x", "_y")))), groups.select(*key, "_g", "_k")
 
 
-def _rest_links(ties: DataFrame, nodes: DataFrame, arrays: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
+def _rest_links(ties: DataFrame, nodes: DataFrame, sketches: DataFrame, fragments_of: Callable[[DataFrame], DataFrame], first: DataFrame, percent: int) -> DataFrame | None:
     """``(id, root)`` over the components ``first(id, root)``: which of them further links join; None where none are open.
 
     Ties between different components leave candidate groups open.  In each of these, sets are dealt to blocks by size
-    class, and for every two blocks whose sizes may link and that aren't of one component, partial overlaps are counted
-    fragment by fragment and summed per pair; a block pair returns a spanning forest.
+    class, and any two blocks whose sizes may link and that aren't of one component meet, by sketches first.  Of sets that
+    may link by these, partial overlaps are counted fragment by fragment and summed per pair; a block pair returns a
+    spanning forest.
     """
     named = lambda c, to: first.select(F.col("id").alias(c), F.col("root").alias(to))
     mapped = ties.select("u", "v").join(named("u", "_ru"), "u", "left").join(named("v", "_rv"), "v", "left")
@@ -327,11 +403,16 @@ def _rest_links(ties: DataFrame, nodes: DataFrame, arrays: DataFrame, first: Dat
     dealt = opened.join(sizes, "_sub").withColumn("_own", F.when(F.col("_big"), F.col("_sub")).otherwise(0))
     pairs, made = _open_pairs(dealt, percent)
     placed = dealt.join(made, ["_root", "_class", "_big", "_own"]).select(
-        "_node", "_sub", F.xxhash64("_g", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_k"))).alias("_block")
+        "_node", "_sub", "_n", F.xxhash64("_g", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_k"))).alias("_block")
     )
-    found = placed.join(pairs, "_block").join(arrays, "_node").groupBy("_p").applyInPandas(_links(percent), "u long, v long")
-    joined = connected_components(found, "links")
-    discard(cross, opened)
+    met = placed.join(pairs, "_block").join(sketches, "_node").groupBy("_p")
+    near = materialize(met.applyInPandas(_near(percent), "_p long, _x long, _y long, _block long, _sub long, _node long"), "near-sets")
+    joined = None
+    if not near.isEmpty():
+        arrays = fragments_of(near.select("_node").distinct())
+        joined = connected_components(near.join(arrays, "_node").groupBy("_p").applyInPandas(_links(percent), "u long, v long"), "links")
+        discard(arrays)
+    discard(cross, opened, near)
     return joined
 
 
@@ -340,21 +421,35 @@ def _component_roots(sets: DataFrame, ties: DataFrame, rows: DataFrame, width: i
     nodes = materialize(sets.where("_node is not null").groupBy("_node", "_n").agg(F.min("_id").alias("_id")), "set-nodes")
     tied = ties.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
     # one row of each candidate node brings its text
-    wanted = materialize(nodes.join(tied, "_node").where("_id is not null").select("_id").distinct(), "wanted")
-    texts = sift(rows, F.col("_id"), wanted, F.col("_id"))[0].join(wanted, "_id", "left_semi").select("_text")
-    arrays = texts.mapInArrow(_arrays(width), "_node long, _parts array<array<long>>")
-    if sets.where("_node is not null").groupBy("_id").agg(F.count("*").alias("_k")).where("_k > 1").take(1):
-        arrays = arrays.dropDuplicates(["_node"])  # only where ids repeat can a node's text come twice
-    arrays = materialize(arrays, "fragments")
+    wanted = materialize(nodes.join(tied, "_node").where("_id is not null").select("_node", "_id"), "wanted")
+    # only where ids repeat can a node's text come twice
+    repeated = bool(sets.where("_node is not null").groupBy("_id").agg(F.count("*").alias("_k")).where("_k > 1").take(1))
+
+    def of_texts(texts: DataFrame, made, schema: str, name: str) -> DataFrame:
+        out = texts.select("_text").mapInArrow(made, schema)
+        return materialize(out.dropDuplicates(["_node"]) if repeated else out, name)
+
+    def fragments_of(some: DataFrame) -> DataFrame:
+        ids = materialize(wanted.join(some, "_node").select("_id").distinct(), "wanted-fragments")
+        texts = sift(rows, F.col("_id"), ids, F.col("_id"))[0].join(ids, "_id", "left_semi")
+        out = of_texts(texts, _arrays(width), "_node long, _parts array<array<long>>", "fragments")
+        discard(ids)
+        return out
+
+    # sketches are small: those of further texts that the bitmap lets through cost less than a shuffle of the texts
+    sketches = of_texts(sift(rows, F.col("_id"), wanted, F.col("_id"))[0], _sketches(width), "_node long, _sketch binary", "sketches")
     size = lambda c, to: nodes.select(F.col("_node").alias(c), F.col("_n").alias(to))
+    drawn = lambda c, to: sketches.select(F.col("_node").alias(c), F.col("_sketch").alias(to))
     most = Window.partitionBy("u").orderBy(F.desc("n"), "v")
     likely = ties.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= PROBES).select("u", "v")
     likely = likely.join(size("u", "nu"), "u").join(size("v", "nv"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    likely = likely.join(drawn("u", "_su"), "u").join(drawn("v", "_sv"), "v").mapInArrow(_may_link(percent), "u long, v long, nu long, nv long")
     likely = materialize(likely, "likely-links")  # so that its size is known: narrow pairs go to the fragments while they are few
-    links = linked_pairs(likely, arrays, percent)
-    first = connected_components(links, "first-links")
-    rest = _rest_links(ties, nodes, arrays, first, percent)
+    arrays = fragments_of(likely.select(F.explode(F.array("u", "v")).alias("_node")).distinct())
+    first = connected_components(linked_pairs(likely, arrays, percent), "first-links")
     discard(arrays)
+    rest = _rest_links(ties, nodes, sketches, fragments_of, first, percent)
+    discard(sketches)
     if rest is None:
         return first.select(F.col("id").alias("_node"), "root"), nodes
     rest = rest.select(F.col("id").alias("_first"), F.col("root").alias("_root"))
@@ -376,6 +471,9 @@ def jaccard_components(
     4. Where ties are left between different components, all sets of such a candidate group that aren't yet of one
        component are compared in blocks (:func:`_rest_links`), so no link between different sets is lost.
 
+    Before fragments are read, in 3. and in 4., sketches of two to four bits a shingle exclude what surely doesn't link
+    (:func:`sketch_of`), so the 64 bits of each shingle are written and shuffled only for sets that may have a link.
+
     Null, empty and blank texts have no shingles and are components of their own.  Null ids keep their rows, but
     a set that only they hold links with none; repeated ids share a component; an empty table gives an empty result;
     other columns are ignored.  Node names are 64-bit digests: two different sets share one with odds of 2**-64.

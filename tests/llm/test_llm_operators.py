@@ -391,6 +391,43 @@ def test_jaccard_hot_groups(spark):
         jaccard.BLOCK_SETS = held
 
 
+def test_sketches_exclude_no_link():
+    """Sketches differ in no more bits than the sets in shingles, whatever their sizes, and tell unlike sets apart."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 31, 32, 33, 700, 5000):
+        for other in (n, n * 5 // 4):
+            for common in range(0, min(n, other) + 1, max(1, n // 9)):
+                h = np.unique(rng.integers(0, 2**64, n + other, dtype=np.uint64))
+                a, b = h[:n], h[n - common : n - common + other]
+                one, two = jaccard.sketch_of(np.sort(a)), jaccard.sketch_of(np.sort(b))
+                size = min(len(one), len(two))
+                apart = np.bitwise_count(jaccard.folded(one, size) ^ jaccard.folded(two, size)).sum()
+                differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+                assert apart <= differ
+                if n > 500 and common < n // 2:
+                    assert 180 * apart > 20 * (len(a) + len(b))
+
+
+def test_fragments_only_of_sets_that_may_link(spark, monkeypatch):
+    """Texts that share a passage are candidates, but only those that may link bring all their shingles."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    made = [(i, " ".join([*(f"w{i}x{j}" for j in range(60)), passage, *(f"v{i}x{j}" for j in range(60))])) for i in range(200)]
+    made += [(1000 + i, made[i][1] + " end") for i in range(0, 200, 50)]
+    rows, materialize = [], jaccard.materialize
+
+    def seen(df, name):
+        out = materialize(df, name)
+        if name == "fragments":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 0)  # the passage isn't left out as common
+    got = jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).toPandas()
+    assert {i: c for i, c in zip(got.doc_id, got.component_id) if i != c} == {1000 + i: i for i in range(0, 200, 50)}
+    assert 8 <= sum(rows) < 100
+
+
 def test_linked_pairs_sum_fragments(spark):
     """Overlaps of fragments add up to the overlap of the sets."""
     rng = np.random.default_rng(3)
