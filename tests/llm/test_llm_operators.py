@@ -3,6 +3,7 @@
 import pathlib
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -216,6 +217,21 @@ def test_toxicity(spark, edges):
     assert toxicity.score(edges.limit(0), model).count() == 0
 
 
+def test_toxicity_training_memory(monkeypatch):
+    """Few words are Python objects at a time, and the model is the same however few."""
+    texts = [" ".join(f"w{i * 100 + j:x}" for j in range(100)) for i in range(3000)]
+    y, s = np.arange(3000, dtype=np.float32) % 2, toxicity.Settings(buckets=256, steps=1, epochs=1)
+    tracemalloc.start()
+    try:
+        one = toxicity.train(texts, y, s)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(toxicity, "WORDS_HELD", 500)
+    two = toxicity.train(texts, y, s)
+    assert np.array_equal(one.table, two.table) and all(np.array_equal(a, b) for a, b in zip(one.kernels, two.kernels)) and one.shift == two.shift
+
+
 def test_toxicity_scores_whole_texts():
     rng = np.random.default_rng(0)
     s = toxicity.Settings(buckets=256, steps=1, epochs=1)
