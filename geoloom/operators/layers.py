@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..storage import materialize
 
 # --- fields --------------------------------------------------------------------------------------------------
 
@@ -86,14 +87,16 @@ def map_features(layer: DataFrame, f, schema: T.StructType | str) -> DataFrame:
 # --- identifiers ---------------------------------------------------------------------------------------------
 
 
-def with_row_id(layer: DataFrame, name: str, order_by: list[str]) -> DataFrame:
+def with_row_id(layer: DataFrame, name: str, order_by: list[str | Column]) -> DataFrame:
     """Dense numbers 1..n in the order of ``order_by``, without putting all rows in one task.
 
-    Rows are dealt by range and sorted; counts of the ranges (one small row each) give the offsets.
+    Rows are dealt by range, sorted and written with their place in the range; counts of the ranges (one small row each)
+    give the offsets.  Borders of ranges come from a sample that differs from run to run, so the places are never made twice.
     """
     parts = layer.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_p", F.spark_partition_id()).withColumn(
         "_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     )
+    parts = materialize(parts, "ranges")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return parts.join(F.broadcast(counts.select("_p", before.alias("_before"))), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
