@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..kernel import crs, model, planar
 from ..kernel.calls import lift as _lift
+from ..kernel.calls import memory as _memory
+from ..kernel.calls import name as _name
 from ..kernel.calls import read as _read
 from ..kernel.calls import write as _write
 
@@ -23,39 +25,45 @@ BOUNDS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin"
 
 
 def _one(f: Callable, kind) -> Callable[[Column], Column]:
-    """UDF of one geometry; repeated geometries of a batch are parsed once."""
+    """UDF of one geometry; a worker remembers results, so that repeated geometries are computed once."""
+    name = _name()
 
     @F.pandas_udf(kind)
     def run(g: pd.Series) -> pd.Series:
-        known: dict = {}
-        return pd.Series([known[x] if x in known else known.setdefault(x, f(_read(x))) for x in g], dtype=object)
+        known = _memory(name)
+        return pd.Series([known[x] if x in known else known.keep(x, f(_read(x))) for x in g], dtype=object)
 
     return run
 
 
 def _two(f: Callable, kind) -> Callable[[Column, Column], Column]:
+    name = _name()
+
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict = {}
+        parsed: dict = {}
+        known = _memory(name)
 
         def read(x):
-            if x not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[x] = _read(x)
-            return known[x]
+            if x not in parsed:
+                if len(parsed) > 10_000:
+                    parsed.clear()
+                parsed[x] = _read(x)
+            return parsed[x]
 
-        return pd.Series([f(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([known[k] if k in known else known.keep(k, f(read(k[0]), read(k[1]))) for k in zip(a, b, strict=True)], dtype=object)
 
     return run
 
 
 def _with(f: Callable, kind) -> Callable:
     """UDF of a geometry and one number column."""
+    name = _name()
 
     @F.pandas_udf(kind)
     def run(g: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([f(_read(x), y) for x, y in zip(g, v, strict=True)], dtype=object)
+        known = _memory(name)
+        return pd.Series([known[k] if k in known else known.keep(k, f(_read(k[0]), k[1])) for k in zip(g, v, strict=True)], dtype=object)
 
     return run
 
