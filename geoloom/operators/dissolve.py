@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..kernel import model, planar
 from ..storage import materialize
-from .overlay import BOX, _prepared, envelope_pairs, members_by, prepared_pairs, union_by, with_geometry
+from .layers import with_row_id
+from .overlay import BOX, _met, members_by, prepared, prepared_pairs, union_by, with_geometry
 
 
 def dissolve(layer: DataFrame, fields: list[str], order_by: str, *, grid: float = 0.0) -> DataFrame:
@@ -44,17 +44,29 @@ def union_layer(layer: DataFrame) -> DataFrame:
 
 def self_overlap(layer: DataFrame, key: str, size: float | None = None) -> DataFrame:
     """Features less their common parts, and each common part once, with the fields of the smaller key."""
-    layer = _prepared(layer, False, 0.0)
-    fields = [c for c in layer.columns if c not in (*BOX, "geom", "_row")]
-    met = with_geometry(prepared_pairs(layer, layer, size, where=F.col("a__row") != F.col("b__row")), layer, layer)
-    met = met.where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    common = materialize(met.withColumn("_g", G.common_area("a_geom", "b_geom")).where("_g is not null").drop("a_geom", "b_geom"), "common")
-    once = common.withColumn("_t", G.as_wkt(F.col("_g"))).groupBy("_t").agg(
-        F.min_by(F.struct(*[F.col(f"a_{c}").alias(c) for c in fields], F.col("_g").alias("geom")), F.struct(f"a_{key}", f"b_{key}")).alias("_r")
-    ).select("_r.*")
+    rest, common = self_overlap_parts(layer, key, size)
+    return rest.unionByName(common)
+
+
+def self_overlap_parts(layer: DataFrame, key: str, size: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(features less their common parts, each common part once)``.
+
+    Features of one shape are common to one another as a whole, so nothing is left of them, and only the one with the
+    smallest key can give its fields to a common part.
+    """
+    layer = prepared(layer)
+    own = layer.rows.groupBy("_row").agg(F.min_by(F.struct(*layer.fields), key).alias("_f"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+    shapes = materialize(layer.shapes.join(own, "_row"), "owned")
+    met = with_geometry(prepared_pairs(layer, layer, size, where=F.col("a__row") < F.col("b__row")), shapes, shapes)
+    met = met.where("a__low < b__high or b__low < a__high").withColumn("_first", (F.col("a__low") < F.col("b__high")) & ((F.col("a__low") <= F.col("b__low")) | (F.col("b__low") >= F.col("a__high"))))
+    met = met.withColumns({c: F.when(F.col("_first"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("_f", "_low")})
+    common = materialize(met.withColumn("_g", G.common_area("a_geom", "b_geom")).where("_g is not null").select("a__row", "b__row", "_f", "_low", "_g"), "common")
+    twins = shapes.where("_low < _high").select("_f", "_low", G.common_area("geom", "geom").alias("_g")).where("_g is not null")
+    once = common.select("_f", "_low", "_g").unionByName(twins).withColumn("_t", G.as_wkt(F.col("_g"))).groupBy("_t").agg(F.min_by(F.struct("_f", "_g"), "_low").alias("_r"))
     cuts = common.select(F.explode(F.array("a__row", "b__row")).alias("_row"), F.col("_g").alias("geom"))
-    rest = layer.join(members_by(cuts, ["_row"]), "_row", "left").withColumn("geom", G.rest_of_all("geom", "_members"))
-    return rest.where("geom is not null").select(*fields, "geom").unionByName(once.select(*fields, "geom"))
+    single = shapes.where("_low = _high or _low is null")
+    rest = single.join(members_by(cuts, ["_row"]), "_row", "left").select("_row", G.rest_of_all("geom", "_members").alias("geom")).where("geom is not null")
+    return layer.meets(rest).select(*layer.fields, "geom"), once.select("_r._f.*", F.col("_r._g").alias("geom")).select(*layer.fields, "geom")
 
 
 def containment(layer: DataFrame, key: str, size: float | None = None, boxes: bool = False) -> DataFrame:
@@ -63,22 +75,33 @@ def containment(layer: DataFrame, key: str, size: float | None = None, boxes: bo
     Containers of a polygon are found by one grid join; those of nested polygons form a chain, so the level is their
     number and the parent the one with the least area (then the greatest key).  ``boxes`` compares envelopes alone.
     """
-    if boxes:
-        g = layer.select(key, *BOX, ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
-    else:
-        g = _prepared(layer.select(key, "geom"), False, 0.0)
-        g = materialize(g.withColumn("area", G.area(F.col("geom"))), "areas")
-    inside = (F.col("a_xmin") >= F.col("b_xmin")) & (F.col("a_xmax") <= F.col("b_xmax")) & (F.col("a_ymin") >= F.col("b_ymin")) & (F.col("a_ymax") <= F.col("b_ymax"))
-    larger = (F.col("b_area") > F.col("a_area")) & (F.col(f"a_{key}") != F.col(f"b_{key}"))
-    if boxes:
-        pairs = envelope_pairs(g, g, size).where(inside & larger)
-    else:
-        pairs = with_geometry(prepared_pairs(g, g, size, where=inside), g, g).where(larger)
-        pairs = pairs.withColumn("_in", G.contains.asNondeterministic()(F.col("b_geom"), F.col("a_geom"))).where("_in")
-    best = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(
-        F.min_by(f"b_{key}", F.struct("b_area", -F.col(f"b_{key}"))).alias("parent"), F.count("*").cast("int").alias("level")
+    if not boxes:
+        return _nested(layer.select(key, "geom"), key, size).select(key, "parent", "level")
+    g = layer.select(key, *BOX)
+    shapes = g.groupBy(*BOX).agg(F.count("*").alias("_n"), F.max(key).alias("_top")).withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    best = _nearest(_met(shapes, shapes, size).where(INSIDE).where("b_area > a_area"), BOX)
+    return g.join(best, list(BOX), "left").select(key, "parent", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+INSIDE = "a_xmin >= b_xmin and a_xmax <= b_xmax and a_ymin >= b_ymin and a_ymax <= b_ymax"
+
+
+def _nearest(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """For each shape ``a`` the feature of least area (then greatest key) among the shapes ``b``, and the number of their features."""
+    return pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in keys]).agg(
+        F.min_by("b__top", F.struct("b_area", -F.col("b__top"))).alias("parent"), F.sum("b__n").cast("int").alias("level")
     )
-    return g.select(key).join(best, key, "left").select(key, "parent", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def _nested(layer: DataFrame, key: str, size: float | None) -> DataFrame:
+    """All fields and the geometry of each feature, with ``parent`` and ``level``; shapes are compared, not features."""
+    layer = prepared(layer)
+    own = layer.rows.groupBy("_row").agg(F.count("*").alias("_n"), F.max(key).alias("_top"))
+    shapes = materialize(layer.shapes.join(own, "_row").withColumn("area", G.area(F.col("geom"))), "areas")
+    pairs = with_geometry(prepared_pairs(layer, layer, size, where=F.expr(INSIDE)), shapes, shapes).where("b_area > a_area")
+    pairs = pairs.withColumn("_in", G.contains.asNondeterministic()(F.col("b_geom"), F.col("a_geom"))).where("_in")
+    found = shapes.select("_row", "geom").join(_nearest(pairs, ("_row",)), "_row", "left")
+    return layer.meets(found).select(*layer.fields, "geom", "parent", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -99,8 +122,7 @@ def donuts(layer: DataFrame, key: str, *, simplify: float = 0.0, size: float | N
     g = layer.drop(*BOX).withColumn("geom", G.exterior(F.col("geom")))
     if simplify > 0:
         g = g.withColumn("geom", G.simplify(F.col("geom"), simplify, True))
-    g = materialize(g, "outer-rings")
-    nodes = g.join(containment(g, key, size), key)
+    nodes = materialize(_nested(g, key, size), "nodes")
     holes = nodes.where("parent is not null and level % 2 = 1").groupBy(F.col("parent").alias("_p")).agg(F.collect_list("geom").alias("_h"))
     out = nodes.join(holes, F.col(key) == F.col("_p"), "left")
     geom = F.when(F.col("level") % 2 == 0, _with_holes(F.col("geom"), F.coalesce("_h", F.array().cast("array<binary>")))).otherwise(F.col("geom"))
@@ -109,12 +131,7 @@ def donuts(layer: DataFrame, key: str, *, simplify: float = 0.0, size: float | N
 
 def rank_by_area(layer: DataFrame, key: str) -> DataFrame:
     """``rank`` from the largest area down, ties by key; for ordering, not for a sort of all rows in one task."""
-    g = layer.withColumn("area", G.area(F.col("geom")))
-    parts = g.repartitionByRange(F.desc("area"), key).sortWithinPartitions(F.desc("area"), key).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("area"), key)))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn("rank", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    return with_row_id(layer.withColumn("area", G.area(F.col("geom"))), "rank", [F.desc("area"), F.col(key)])
 
 
 def longest_part(line_wkb: bytes) -> bytes:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import dissolve, layers, overlay
-from .base import COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, Z_SQL, parcels, points, query, zones
-from .vector_queries import AREA, CELL, NEST, PIECES, _nested, boxed
+from .base import COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, Z_SQL, dealt, parcels, points, query, zones
+from .vector_queries import AREA, CELL, NEST, PIECES, _nested, area, boxed
 
 W, H = "(x1 - x0)", "(y1 - y0)"
 
@@ -27,7 +27,7 @@ def ring(*corners: str) -> Column:
 
 def shaped(layer: DataFrame, *rings: tuple[str, ...]) -> DataFrame:
     """A layer of polygons with these rings."""
-    return layer.withColumn("geom", G.make_polygon(F.array(*[ring(*r) for r in rings])))
+    return dealt(layer).withColumn("geom", G.make_polygon(F.array(*[ring(*r) for r in rings])))
 
 
 TRIANGLE = ("x0 y0", "x1 y0", "x0 y1")
@@ -67,43 +67,43 @@ def _spread(spark, sf_dir) -> DataFrame:
 def overlay_clip_triangles(spark, sf_dir):
     """A right triangle loses a quarter of its area to the far half of its box."""
     a = shaped(_spread(spark, sf_dir), TRIANGLE).select("id", "geom")
-    return measured(overlay.clip(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id"), F.col("geom"))
+    return overlay.clip(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id", measures=area(6)).select("id", "area")
 
 
 @query(f"with {P_SQL} select id, round({W} * {H} / 8, 6) area from p")
 def overlay_erase_triangles(spark, sf_dir):
     a = shaped(_spread(spark, sf_dir), TRIANGLE).select("id", "geom")
-    return measured(overlay.erase(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id"), F.col("geom"))
+    return overlay.erase(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id", measures=area(6)).select("id", "area")
 
 
 @query(f"with {P_SQL} select id, id half, round({W} * {H} * 3 / 8, 6) area from p")
 def overlay_intersect_triangles(spark, sf_dir):
     a = shaped(_spread(spark, sf_dir), TRIANGLE).select("id", "geom")
-    return overlay.intersect(a, boxed(_halves(spark, sf_dir)).select("half", "geom")).select("id", "half", F.round(G.area(F.col("geom")), 6).alias("area"))
+    return overlay.intersect(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), measures=area(6)).select("id", "half", "area")
 
 
 @query(f"with {P_SQL} select 'a' side, id, round({W} * {H} / 8, 6) area from p union all select 'b', id, round({W} * {H} / 8, 6) from p")
 def overlay_symdiff_triangles(spark, sf_dir):
     """The triangle's part beyond the half box, and the half box's part beyond the triangle."""
     a = shaped(_spread(spark, sf_dir), TRIANGLE).select("id", "geom")
-    out = overlay.sym_difference(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id", "half")
+    out = overlay.sym_difference(a, boxed(_halves(spark, sf_dir)).select("half", "geom"), "id", "half", measures=area(6))
     side = F.when(F.col("half").isNull(), "a").otherwise("b")
-    return out.select(side.alias("side"), F.coalesce("id", "half").alias("id"), F.round(G.area(F.col("geom")), 6).alias("area"))
+    return out.select(side.alias("side"), F.coalesce("id", "half").alias("id"), "area")
 
 
 @query(ORACLE_SQL["overlay_symdiff_area"].replace("id, area from rest", "id, round(area, 5) area from rest").replace(
     f"select 'b', z.id, {AREA} - coalesce(c.covered, 0) from", f"select 'b', z.id, round({AREA} - coalesce(c.covered, 0), 5) from"))
 def overlay_symdiff_kernel(spark, sf_dir):
     a, b = boxed(parcels(spark, sf_dir)).select("id", "geom"), boxed(zones(spark, sf_dir)).select(F.col("id").alias("zone"), "geom")
-    out = overlay.sym_difference(a, b, "id", "zone")
-    return out.select(F.when(F.col("zone").isNull(), "a").otherwise("b").alias("side"), F.coalesce("id", "zone").alias("id"), F.round(G.area(F.col("geom")), 5).alias("area"))
+    out = overlay.sym_difference(a, b, "id", "zone", measures=area(5))
+    return out.select(F.when(F.col("zone").isNull(), "a").otherwise("b").alias("side"), F.coalesce("id", "zone").alias("id"), "area")
 
 
 @query(f"with {P_SQL}, {Z_SQL}, {PIECES}, {COVER_SQL} select id, round(covered, 5) area from covered")
 def overlay_merge_by_input(spark, sf_dir):
     """All pieces of one parcel, merged: its covered part."""
     a, b = boxed(parcels(spark, sf_dir)).select("id", "geom"), boxed(zones(spark, sf_dir)).select(F.col("id").alias("zone"), "geom")
-    return measured(overlay.merge_by_input(overlay.intersect(a, b), "id"), F.col("geom"), 5)
+    return measured(overlay.merged_intersect(a, b, "id"), F.col("geom"), 5)
 
 
 @query(f"with {P_SQL} select id, round({W} * {H} * 3 / 4, 6) area, round(3 * ({W} + {H}), 6) border, cast(10 as integer) points, round({W} * {H}, 6) outer_area from p")
@@ -163,11 +163,8 @@ INSIDE = "(p.x0 >= z.x0 and p.x1 <= z.x1 and p.y0 >= z.y0 and p.y1 <= z.y1)"
  {INSIDE} covered, (p.x0 = z.x0 and p.x1 = z.x1 and p.y0 = z.y0 and p.y1 = z.y1) same, true meeting, false apart
  from p join z on p.x0 <= z.x1 and z.x0 <= p.x1 and p.y0 <= z.y1 and z.y0 <= p.y1""")
 def predicates_of_boxes(spark, sf_dir):
-    a, b = F.col("a_geom"), F.col("b_geom")
-    pairs = overlay.met_pairs(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), CELL, touching=True)
-    return pairs.select(
-        "a_id", "b_id", G.overlaps(a, b).alias("overlapping"), G.contains(b, a).alias("covered"), G.equals(a, b).alias("same"), G.intersects(a, b).alias("meeting"), G.disjoint(a, b).alias("apart"),
-    )
+    tests = {"overlapping": G.overlaps, "covered": lambda a, b: G.contains(b, a), "same": G.equals, "meeting": G.intersects, "apart": G.disjoint}
+    return overlay.met_pairs(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), CELL, touching=True, tests=tests).select("a_id", "b_id", *tests)
 
 
 @query(f"with {P_SQL} select id, true crossing, true touching, true apart, true inside, false crossing_inside from p")

@@ -9,19 +9,24 @@ from ..functions import geometry as G
 from ..functions import tiles
 from ..operators import dissolve, layers, overlay
 from ..sources import types
-from .base import COMMON, COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, QUERIES, Z_SQL, ZA_SQL, ZD_SQL, apart_zones, parcels, points, query, spread_zones, table, zones
+from .base import COMMON, COVER_SQL, MEET, ORACLE_SQL, P_SQL, PT_SQL, QUERIES, Z_SQL, ZA_SQL, ZD_SQL, apart_zones, dealt, parcels, points, query, spread_zones, table, zones
 
 CELL = 64.0
 
 
 def boxed(layer: DataFrame) -> DataFrame:
     """A layer of rectangles with its WKB column."""
-    return layer.withColumn("geom", G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
+    return dealt(layer).withColumn("geom", G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
 
 
 AREA = "(x1 - x0) * (y1 - y0)"
 
 
+def area(digits: int | None = None) -> dict:
+    """The area of a result as its ``area``, rounded if asked for."""
+    return {"area": lambda g: G.area(g) if digits is None else F.round(G.area(g), digits)}
+
+
 @query(f"with {P_SQL}, {Z_SQL} select p.id a_id, z.id b_id, (least(p.x1, z.x1) - greatest(p.x0, z.x0)) * (least(p.y1, z.y1) - greatest(p.y0, z.y0)) area from p join z on {MEET}")
 def overlay_intersect_boxes(spark, sf_dir):
     pairs = overlay.intersect_boxes(parcels(spark, sf_dir), zones(spark, sf_dir), CELL)
@@ -32,7 +37,7 @@ def overlay_intersect_boxes(spark, sf_dir):
 def overlay_intersect_kernel(spark, sf_dir):
     a = boxed(parcels(spark, sf_dir)).select(F.col("id").alias("a_id"), "geom")
     b = boxed(zones(spark, sf_dir)).select(F.col("id").alias("b_id"), "geom")
-    return overlay.intersect(a, b).select("a_id", "b_id", F.round(G.area(F.col("geom")), 6).alias("area"))
+    return overlay.intersect(a, b, measures=area(6)).select("a_id", "b_id", "area")
 
 
 PIECES = f"pieces as (select p.id, {COMMON} from p join z on {MEET})"
@@ -45,8 +50,7 @@ def overlay_clip_area(spark, sf_dir):
 
 @query(f"with {P_SQL}, {Z_SQL}, {PIECES}, {COVER_SQL} select id, round(covered, 5) area from covered")
 def overlay_clip_kernel(spark, sf_dir):
-    out = overlay.clip(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), "id")
-    return out.select("id", F.round(G.area(F.col("geom")), 5).alias("area"))
+    return overlay.clip(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), "id", measures=area(5)).select("id", "area")
 
 
 LEFT = f"rest as (select p.id, {AREA} - coalesce(covered, 0) area from p left join covered c on c.id = p.id)"
@@ -62,8 +66,7 @@ def overlay_erase_area(spark, sf_dir):
 
 @query(f"with {P_SQL}, {Z_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select id, round(area, 5) area from rest where area > 0")
 def overlay_erase_kernel(spark, sf_dir):
-    out = overlay.erase(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), "id")
-    return out.select("id", F.round(G.area(F.col("geom")), 5).alias("area"))
+    return overlay.erase(boxed(parcels(spark, sf_dir)), boxed(zones(spark, sf_dir)), "id", measures=area(5)).select("id", "area")
 
 
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select id, sum(area) area, cast(count(*) as bigint) parts from (select id, {AREA} area from pieces union all select id, area from rest where area > 0) group by id")
@@ -78,8 +81,8 @@ def overlay_identity_area(spark, sf_dir, layer=apart_zones):
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select id, round(sum(area), 5) area, cast(count(*) as bigint) parts from (select id, {AREA} area from pieces union all select id, area from rest where area > 0) group by id")
 def overlay_identity_kernel(spark, sf_dir, layer=apart_zones):
     a, b = boxed(parcels(spark, sf_dir)), boxed(layer(spark, sf_dir)).withColumnRenamed("id", "zone")
-    out = overlay.identity(a, b, "id", "prefix")
-    return out.groupBy("id").agg(F.round(F.sum(G.area(F.col("geom"))), 5).alias("area"), F.count("*").alias("parts"))
+    out = overlay.identity(a, b, "id", "prefix", measures=area())
+    return out.groupBy("id").agg(F.round(F.sum("area"), 5).alias("area"), F.count("*").alias("parts"))
 
 
 BACK = "back as (select z.id, greatest(z.x0, p.x0) x0, greatest(z.y0, p.y0) y0, least(z.x1, p.x1) x1, least(z.y1, p.y1) y1 from z join p on " + MEET + ")"
@@ -100,7 +103,7 @@ def overlay_symdiff_area(spark, sf_dir):
 @query(f"with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT} select 'a' side, id, area from rest where area > 0 union all select 'b', id, {AREA} from z")
 def overlay_update_area(spark, sf_dir, layer=apart_zones):
     a, b = boxed(parcels(spark, sf_dir)).select(F.lit("a").alias("side"), "id", "geom"), boxed(layer(spark, sf_dir)).select(F.lit("b").alias("side"), "id", "geom")
-    return overlay.update(a, b, "id").select("side", "id", G.area(F.col("geom")).alias("area"))
+    return overlay.update(a, b, "id", measures=area()).select("side", "id", "area")
 
 
 @query(f"""with {P_SQL}, {ZD_SQL}, {PIECES}, {COVER_SQL}, {LEFT}, {BACK}, {COVER_BACK}
@@ -109,9 +112,9 @@ def overlay_update_area(spark, sf_dir, layer=apart_zones):
 def overlay_union_area(spark, sf_dir, layer=apart_zones):
     a = boxed(parcels(spark, sf_dir)).select(F.col("id").alias("a_id"), "geom")
     b = boxed(layer(spark, sf_dir)).select(F.col("id").alias("b_id"), "geom")
-    out = overlay.union(a, b, "a_id", "b_id")
+    out = overlay.union(a, b, "a_id", "b_id", measures=area())
     part = F.when(F.col("b_id").isNull(), "a").when(F.col("a_id").isNull(), "b").otherwise("both")
-    return out.groupBy(part.alias("part")).agg(F.round(F.sum(G.area(F.col("geom"))), 4).alias("area"), F.count("*").alias("features"))
+    return out.groupBy(part.alias("part")).agg(F.round(F.sum("area"), 4).alias("area"), F.count("*").alias("features"))
 
 
 def _over_all_zones(name: str) -> None:
@@ -150,13 +153,8 @@ def self_overlap_pairs(spark, sf_dir):
 
 @query(f"with {Z_SQL}, pieces as (select p.id, {COMMON} from z p join z on p.id <> z.id and {MEET}), {COVER_SQL} select z.id, round({AREA} - coalesce(covered, 0), 5) area from z left join covered c on c.id = z.id where {AREA} - coalesce(covered, 0) > 1e-6")
 def self_overlap_rest(spark, sf_dir):
-    z = boxed(zones(spark, sf_dir)).select("id", "geom")
-    out = dissolve.self_overlap(z.withColumn("whole", F.lit(1)), "id")
-    # common parts carry their first feature's fields too; leave them out by their shape
-    rest = out.withColumn("wkt", G.as_wkt(F.col("geom")))
-    common = overlay.intersect_boxes(zones(spark, sf_dir), zones(spark, sf_dir), CELL).where("a_id < b_id").select(G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("g"))
-    common = common.select(G.as_wkt(G.to_multi_polygon(F.col("g"))).alias("wkt")).distinct()
-    return rest.join(common, "wkt", "left_anti").select("id", F.round(G.area(F.col("geom")), 5).alias("area"))
+    rest, _ = dissolve.self_overlap_parts(boxed(zones(spark, sf_dir)).select("id", "geom"), "id")
+    return rest.select("id", F.round(G.area(F.col("geom")), 5).alias("area"))
 
 
 NEST = f"with {P_SQL}, {Z_SQL}, u as (select id, x0, y0, x1, y1, {AREA} a from p union all select 1000000 + id, x0, y0, x1, y1, {AREA} from z)"
@@ -255,10 +253,8 @@ def predicates_all(spark, sf_dir):
 
 
 def _predicates(p: DataFrame, z: DataFrame) -> DataFrame:
-    pairs = overlay.met_pairs(boxed(p), boxed(z), CELL, touching=True)
-    a, b = F.col("a_geom"), F.col("b_geom")
-    shared = G.area(G.common_area(a, b)) > 0
-    return pairs.select("a_id", "b_id", shared.alias("overlapping"), G.within(a, b).alias("inside"), G.touches(a, b).alias("touching"))
+    tests = {"overlapping": lambda a, b: G.area(G.common_area(a, b)) > 0, "inside": G.within, "touching": G.touches}
+    return overlay.met_pairs(boxed(p), boxed(z), CELL, touching=True, tests=tests).select("a_id", "b_id", *tests)
 
 
 @query(f"""with {PT_SQL} select event_id, cast(case when z between 25 and 45 then z end as integer) zone, cast(case when z between 25 and 45 then z + 4509 end as integer) epsg
